@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from folio_spark.llm import op1_html, op3_toxicity, op7_bpe, op8_license, op10_chat
+from folio_spark.llm import op1_html, op3_toxicity, op6_jaccard, op7_bpe, op8_license, op10_chat
 
 QUERIES = {
     "op1_html_text": op1_html.op1_html_text,
     "op3_toxicity": op3_toxicity.op3_toxicity,
+    "op6_jaccard_join": op6_jaccard.op6_jaccard_join,
     "op7_byte_bpe": op7_bpe.op7_byte_bpe,
     "op8_license_scan": op8_license.op8_license_scan,
     "op10_chat_format": op10_chat.op10_chat_format,
