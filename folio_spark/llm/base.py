@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio_spark.llm.bytesops import mix
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,6 +29,48 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bits of a filter of ids; it never gets larger, so it may be broadcast however many ids it is given.
+FILTER_BITS = 1 << 23
+
+
+def _slots(ids: np.ndarray, size: int) -> list[np.ndarray]:
+    h = mix(ids.view(np.uint64))
+    mask = np.uint64(size - 1)
+    return [h & mask, (h >> np.uint64(32)) & mask]
+
+
+def id_filter(ids: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
+    """A Bloom filter of ``size`` bits (a power of two) over the integral column ``id``, packed.
+
+    It only saves work: whoever uses it must still join with the exact ids.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
+        for batch in batches:
+            for s in _slots(np.asarray(batch.column(0)).astype(np.int64), size):
+                bits[s] = True
+        words = np.packbits(bits).view(np.int64)
+        at = np.flatnonzero(words)
+        for i in range(0, len(at), 1 << 14):
+            part = at[i : i + (1 << 14)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(words[part])], ["at", "bits"])
+
+    src = ids.select(F.col("id").cast("long").alias("id")).where("id IS NOT NULL")
+    rows = src.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(size // 64, np.int64)
+    words[np.asarray(rows.column("at"))] = np.asarray(rows.column("bits"))
+    return words.view(np.uint8)
+
+
+def may_hold(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which of the int64 ``ids`` may be among those of the filter."""
+    ok = np.ones(len(ids), bool)
+    for s in _slots(np.ascontiguousarray(ids), len(packed) * 8):
+        ok &= (packed[s >> np.uint64(3)] >> (np.uint64(7) - (s & np.uint64(7))).astype(np.uint8)) & 1 == 1
+    return ok
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id for every vertex of ``edges(src, dst)`` -> ``(id, component)``.
 
