@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from folio_spark.llm import op1_html, op2_embedding, op3_toxicity, op5_decontaminate, op6_jaccard, op7_bpe, op8_license, op10_chat
+from folio_spark.llm import op1_html, op2_embedding, op3_toxicity, op4_repeats, op5_decontaminate, op6_jaccard, op7_bpe, op8_license, op10_chat
 
 QUERIES = {
     "op1_html_text": op1_html.op1_html_text,
     "op2_embedding_dedup": op2_embedding.op2_embedding_dedup,
     "op3_toxicity": op3_toxicity.op3_toxicity,
+    "op4_suffix_repeats": op4_repeats.op4_suffix_repeats,
     "op5_decontaminate": op5_decontaminate.op5_decontaminate,
     "op6_jaccard_join": op6_jaccard.op6_jaccard_join,
     "op7_byte_bpe": op7_bpe.op7_byte_bpe,
