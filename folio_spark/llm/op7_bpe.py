@@ -189,26 +189,28 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, decoded binary").withColumnRenamed("id", id_col)
 
 
-def roundtrip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode in one pass: ``id, n_tokens, ids_sha256, decoded_sha256`` (null text: empty)."""
+def roundtrip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass: ``id, n_tokens, ids_sha256, decoded_sha256`` and, if asked, ``ids`` (null text: empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for batch in batches:
-            counts, ids_hex, text_hex = [], [], []
+            counts, ids_hex, text_hex, kept = [], [], [], []
             for k in range(batch.num_rows):
                 ids = bpe.encode(batch.column(1)[k].as_py() or "")
                 counts.append(len(ids) // 4)
                 ids_hex.append(hashlib.sha256(ids).hexdigest())
                 text_hex.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                if with_ids:
+                    kept.append(ids)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())],
-                ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string()), *([pa.array(kept, pa.binary())] if with_ids else [])],
+                ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])],
             )
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return src.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids).withColumnRenamed("id", id_col)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

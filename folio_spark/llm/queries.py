@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio_spark.llm import op1_html, op2_embedding, op3_toxicity, op4_repeats, op5_decontaminate, op6_jaccard, op7_bpe, op8_license, op10_chat
+from folio_spark.llm import op1_html, op2_embedding, op3_toxicity, op4_repeats, op5_decontaminate, op6_jaccard, op7_bpe, op8_license, op9_katz, op10_chat
 
 QUERIES = {
     "op1_html_text": op1_html.op1_html_text,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard.op6_jaccard_join,
     "op7_byte_bpe": op7_bpe.op7_byte_bpe,
     "op8_license_scan": op8_license.op8_license_scan,
+    "op9_katz_lm": op9_katz.op9_katz_lm,
     "op10_chat_format": op10_chat.op10_chat_format,
 }
 
