@@ -1,6 +1,32 @@
-"""Registered queries: name -> callable and name -> DuckDB SQL."""
+"""Registered queries: name -> callable and name -> DuckDB SQL.
+
+Plan modules register themselves with ``query``; importing this module loads them all.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register ``f(spark, sf_dir)`` under ``name``, with its SQL if SQL can express it."""
+
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from folio_spark.plans import catalog, retrieval, similarity, streams, texts  # noqa: E402, F401
