@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -23,6 +25,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folio-ckpt-"))
 
 
+def lean(run):
+    """Wrap a batch function so that its worker hands memory back when a partition ends: workers live on between stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage there."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -57,7 +73,7 @@ def id_filter(ids: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(words[part])], ["at", "bits"])
 
     src = ids.select(F.col("id").cast("long").alias("id")).where("id IS NOT NULL")
-    rows = src.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    rows = src.mapInArrow(lean(run), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(size // 64, np.int64)
     words[np.asarray(rows.column("at"))] = np.asarray(rows.column("bits"))
     return words.view(np.uint8)

@@ -39,7 +39,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def chunks(texts: pa.Array, limit: int = 1 << 21):
+def chunks(texts: pa.Array, limit: int = (1 << 20) - 1):
     """Yield ``(first, last, bytes, offsets)`` for runs of rows of about ``limit`` bytes.
 
     Nulls read as empty.  A single row longer than the limit makes a chunk of its own.

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio_spark.llm.base import table
+from folio_spark.llm.base import lean, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -243,7 +243,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...
 
     src = pages.select(*keep, F.col(html_col).alias("_html"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(run, f"{kinds}, `{out}` string")
+    return src.mapInArrow(lean(run), f"{kinds}, `{out}` string")
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio_spark.llm.base import connected_components, cut, table
+from folio_spark.llm.base import connected_components, cut, lean, table
 
 TABLES, HASHES, PROBES = 4, 3, 2
 #: Vectors of a block: two blocks and their products stay near 30 MB.
@@ -95,7 +95,7 @@ def hash_vectors(vectors: DataFrame) -> DataFrame:
                     )
 
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    return vectors.mapInArrow(run, f"vec_id {kinds['vec_id']}, label {kinds['label']}, x binary, b binary")
+    return vectors.mapInArrow(lean(run), f"vec_id {kinds['vec_id']}, label {kinds['label']}, x binary, b binary")
 
 
 def _compare(key, pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
@@ -174,7 +174,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     """
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
     hashed = cut(hash_vectors(src.where("vec_id IS NOT NULL AND label IS NOT NULL")))
-    ids = hashed.mapInArrow(_spread, f"vec_id long, label {src.schema['label'].dataType.simpleString()}, bucket long")
+    ids = hashed.mapInArrow(lean(_spread), f"vec_id long, label {src.schema['label'].dataType.simpleString()}, bucket long")
     sizes = ids.groupBy("label", "bucket").agg(F.count("*").alias("size")).where("size > 1")
     sizes = sizes.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     member = cut(ids.join(sizes, ["label", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")))

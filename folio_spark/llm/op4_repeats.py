@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio_spark.llm.base import cut, id_filter, may_hold, table
+from folio_spark.llm.base import cut, id_filter, lean, may_hold, table
 from folio_spark.llm.bytesops import Words, chunks
 
 MIN_WORDS = 50
@@ -219,15 +219,15 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = F
     document; an empty table gives no rows; other columns are ignored.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
-    seeds = src.mapInArrow(_anchor_rows(min_words), "seed long")
+    seeds = src.mapInArrow(lean(_anchor_rows(min_words)), "seed long")
     repeated = cut(seeds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select(F.col("seed").alias("id")))
     bits = 1 << 16
     while bits < SEED_BITS and bits < 16 * repeated.count():
         bits <<= 1
     packed = docs.sparkSession.sparkContext.broadcast(id_filter(repeated, bits))
-    suffixes = src.mapInArrow(_context_rows(min_words, packed), "id long, pos int, seed long, before binary, after binary")
+    suffixes = src.mapInArrow(lean(_context_rows(min_words, packed)), "id long, pos int, seed long, before binary, after binary")
     suffixes = suffixes.repartition("seed").sortWithinPartitions("seed", "after", "before", "id", "pos")
-    marks = suffixes.mapInArrow(_compare(min_words, within), "id long, start long, stop long, source_id long, source_start long")
+    marks = suffixes.mapInArrow(lean(_compare(min_words, within)), "id long, start long, stop long, source_id long, source_start long")
     # Overlapping marks of a document become one span; the source is that of its longest mark.
     merged = marks.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "source_id", "source_start"))).alias("m"))
     folded = F.expr(
@@ -294,7 +294,7 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                         cols = [x.filter(stay) for x in cols]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(lean(run), docs.schema)
 
 
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

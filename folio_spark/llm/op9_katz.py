@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio_spark.llm.base import cut, table
+from folio_spark.llm.base import cut, lean, table
 from folio_spark.llm.bytesops import Words, chunks
 
 #: Hashes of the end of a text, which is a token, and of the start, which is only a history.
@@ -80,7 +80,7 @@ def pair_rows(docs: DataFrame, id_col: str, text_col: str, train: Column) -> Dat
                 )
 
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("t"))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, train boolean, h1 long, h2 long, n int")
+    return src.mapInArrow(lean(run), f"id {src.schema['id'].dataType.simpleString()}, train boolean, h1 long, h2 long, n int")
 
 
 @dataclass
