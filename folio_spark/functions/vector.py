@@ -61,7 +61,7 @@ def similarity_join(df: DataFrame, threshold: float, id_col: str = "vec_id", vec
     rows, b = _blocks(df, id_col, vector, block)
     sides = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).withColumn("a", F.least("blk", "o")).withColumn("c", F.greatest("blk", "o"))
 
-    def pairs(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf.blk == key[0]], pdf[pdf.blk == key[1]]
         out = {"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "sim": np.zeros(0)}
         if len(x) and len(y):
@@ -90,7 +90,7 @@ def knn_join(df: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embed
         out = pd.DataFrame({"id": np.repeat(xi, order.shape[1]), "neighbour": yi[order].ravel(), "sim": np.take_along_axis(s, order, 1).ravel()})
         return out[np.isfinite(out.sim)]
 
-    def both(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def both(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf.blk == key[0]], pdf[pdf.blk == key[1]]
         parts = [best(x, y)] if len(x) and len(y) else []
         if key[0] != key[1] and parts:

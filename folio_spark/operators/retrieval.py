@@ -94,7 +94,7 @@ def confidence(ranked: DataFrame, score: str = "score", source: str = "source",
         F.count_distinct(F.when(F.col("rn") <= 10, F.col(source))).alias("sources"),
         F.count("*").alias("n"),
     )
-    s = F.coalesce(F.least(F.col("top3") / (30.0 if reranked else 1.0), F.lit(1.0)), F.lit(0.0))
+    s = F.least(F.coalesce("top3", F.lit(0.0)) / (30.0 if reranked else 1.0), F.lit(1.0))  # no result: no score
     c = 0.40 * s + 0.30 * F.least(F.col("sources") / 3.0, F.lit(1.0)) + 0.15 * F.least(F.col("n") / 10.0, F.lit(1.0)) + 0.15 * type_score
     c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     return agg.select(F.round(c, 6).alias("confidence"), confidence_level(c).alias("level"), F.col("n").alias("n_results"), F.col("sources").alias("n_sources"))

@@ -85,7 +85,7 @@ def hybrid_merge(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "hybrid_confidence",
     f"""WITH {BM25_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rn FROM (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 50)),
-    a AS (SELECT coalesce(least(avg(score) FILTER (WHERE rn <= 3) / 30, 1), 0) AS s, count(DISTINCT source) FILTER (WHERE rn <= 10) AS k, count(*) AS n FROM r),
+    a AS (SELECT least(coalesce(avg(score) FILTER (WHERE rn <= 3), 0) / 30, 1) AS s, count(DISTINCT source) FILTER (WHERE rn <= 10) AS k, count(*) AS n FROM r),
     c AS (SELECT greatest(0, least(1, 0.4 * s + 0.3 * least(k / 3.0, 1) + 0.15 * least(n / 10.0, 1) + 0.15 * 0.8)) AS c, n, k FROM a)
     SELECT round(c, 6) AS confidence, CASE WHEN c >= 0.85 THEN 'high' WHEN c >= 0.70 THEN 'medium' WHEN c >= 0.50 THEN 'low' ELSE 'very_low' END AS level, n AS n_results, k AS n_sources FROM c""",
 )
