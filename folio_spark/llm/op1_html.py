@@ -104,7 +104,7 @@ class _Lines(HTMLParser):
             elif tag == "hr":
                 self.flush()
             return
-        if tag in BLOCK or tag in DROPPED:
+        if tag in BLOCK:
             self.flush()
         for open_tag in CLOSES.get(tag, ()):
             self._close(open_tag, implied=True)
@@ -136,18 +136,17 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        if tag in BLOCK or tag in DROPPED:
+        if tag in BLOCK:
             self.flush()
         if tag not in ("body", "html"):
             self._close(tag, implied=False)
 
     def handle_data(self, data):
-        if not self.buffer or self.owner is not self.node and self.owner.dropped != self.node.dropped:
-            if self.buffer:
-                self.flush()
+        if self.node.dropped:
+            return
+        if not self.buffer:
             self.owner = self.node
-        if not self.node.dropped:
-            self.buffer.append(data)
+        self.buffer.append(data)
 
     def error(self, message):  # pragma: no cover
         pass
