@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -45,6 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nobody holds any more: disk holds one phase at a time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Bits of a filter of ids; it never gets larger, so it may be broadcast however many ids it is given.
 FILTER_BITS = 1 << 23
 

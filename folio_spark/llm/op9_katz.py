@@ -141,15 +141,17 @@ def score_texts(pairs: DataFrame, model: Katz) -> DataFrame:
 
 
 def op9_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table, scored by blocks: the model of ``train_katz``, moved as packed arrays."""
+    from folio_spark.llm.katz_blocks import score_corpus
+
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
-    pairs = pair_rows(table(spark, sf_dir, "documents"), "doc_id", "text", ~held)
-    model = train_katz(pairs)
-    return score_texts(pairs, model).select(
+    scored, shared = score_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", ~held)
+    return scored.select(
         F.col("id").alias("doc_id"),
         (~F.col("train")).alias("held_out"),
         "n_tokens",
         "n_known",
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.lit(shared.tokens).cast("long").alias("train_tokens"),
         "base_score",
         "score",
     )

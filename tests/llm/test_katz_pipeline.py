@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folio_spark.llm import op9_katz
+from folio_spark.llm import katz_blocks, op9_katz
 from folio_spark.llm.bytesops import Words, chunks
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -66,6 +66,37 @@ def test_katz_against_dictionaries(spark, docs):
         assert got[i].score == pytest.approx(want) and got[i].base_score == pytest.approx(base)
 
 
+@pytest.mark.parametrize("tokens", [50, 1_000_000])
+def test_blocks_equal_tables(spark, tmp_path, tokens):
+    rng = np.random.RandomState(4)
+    rows = [(i, " ".join(f"w{min(int(x), 80)}" for x in rng.zipf(1.5, int(rng.randint(0, 60))))) for i in range(90)] + [(200, None), (201, ""), (5, "w1 w2")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    df = spark.read.parquet(f"{tmp_path}/d")
+    train = F.col("doc_id") % 3 != 1
+    pairs = op9_katz.pair_rows(df.where("doc_id <> 5"), "doc_id", "text", train)
+    got, shared = katz_blocks.score_corpus(df.where("doc_id <> 5"), "doc_id", "text", train, tokens)
+    model = op9_katz.train_katz(pairs)
+    want = {r.id: r for r in op9_katz.score_texts(pairs, model).collect()}
+    got = {r.id: r for r in got.collect()}
+    assert set(got) == set(want) and shared.tokens == model.tokens and shared.unknown == pytest.approx(model.unknown)
+    for i, w in want.items():
+        assert (got[i].train, got[i].n_tokens, got[i].n_known) == (w.train, w.n_tokens, w.n_known)
+        assert got[i].score == pytest.approx(w.score) and got[i].base_score == pytest.approx(w.base_score)
+    assert katz_blocks.score_corpus(df, "doc_id", "text", train, tokens)[0].where("id = 5").count() == 2
+
+
+def test_blocks_of_nothing(spark, docs):
+    out, shared = katz_blocks.score_corpus(docs.where("doc_id > 99"), "doc_id", "text", F.lit(True))
+    assert out.count() == 0 and shared.tokens == 0
+    out, _ = katz_blocks.score_corpus(docs, "doc_id", "text", F.lit(False))
+    assert out.count() == docs.count() and {r.score for r in out.collect()} == {0.0}
+
+
+def test_packing():
+    arrays = [np.array([], np.int64), np.array([0, 255]), np.array([70000]), np.array([-1, 2**40]), np.array([2**63], np.uint64), np.array([0.5])]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, katz_blocks.unpack(katz_blocks.pack(*arrays)), strict=True))
+
+
 def test_katz_without_training(spark, docs):
     pairs = op9_katz.pair_rows(docs, "doc_id", "text", F.lit(False))
     model = op9_katz.train_katz(pairs)
