@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,53 +97,92 @@ def hash_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(lean(run), f"vec_id {kinds['vec_id']}, label {kinds['label']}, x binary, b binary")
 
 
-def _compare(key, pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Links between the two sides (or within the one) of a block pair, met here first."""
-    bucket, i, j = int(key[1]), int(key[3]), int(key[4])
-    pdf = pdf.sort_values("vec_id", kind="stable")
-    side_a = pdf[pdf.block == i]
-    side_b = pdf[pdf.block == j]
-    empty = pd.DataFrame({"vec_id": np.zeros(0, np.int64), "n_links": np.zeros(0, np.int64), "other": np.zeros(0, np.int64)})
-    if len(side_a) == 0 or len(side_b) == 0:
-        return empty
-
-    def mats(s):
-        return np.stack([np.frombuffer(v) for v in s.x]), np.stack([np.frombuffer(v, np.int64) for v in s.b]), s.vec_id.to_numpy()
-
-    xa, ba, ia = mats(side_a)
-    xb, bb, ib = (xa, ba, ia) if i == j else mats(side_b)
-    if xa.shape[1] != xb.shape[1]:
-        return empty
-    r, c = np.nonzero(xa @ xb.T >= cosine - 1e-9)
-    keep = (ia[r] < ib[c]) if i == j else (ia[r] != ib[c])
-    r, c = r[keep], c[keep]
-    links_r, links_c = [], []
-    for k in range(0, len(r), 20000):
-        p, q = r[k : k + 20000], c[k : k + 20000]
-        exact = (xa[p] * xb[q]).sum(1) >= cosine
-        p, q = p[exact], q[exact]
-        # The first common bucket, by position in the first vector's list, ordered by id: the smallest common id.
-        common = np.where((ba[p][:, :, None] == bb[q][:, None, :]).any(2), ba[p], np.iinfo(np.int64).max).min(1)
-        here = common == bucket
-        links_r.append(p[here])
-        links_c.append(q[here])
-    if not links_r:
-        return empty
-    p, q = np.concatenate(links_r), np.concatenate(links_c)
+#: Links a task holds before it sums them up and sends them on.
+_HELD = 200_000
+
+
+def _links(rows: list[tuple], bucket: int, i: int, j: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked ids of a block pair (or of one block) that meet in no smaller bucket; rows: vec_id, block, x, b."""
+    sides = [[r for r in rows if r[1] == k] for k in ([i] if i == j else [i, j])]
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if not all(sides) or len({len(r[2]) for r in rows}) > 1:
+        return none
+    mats = [(np.frombuffer(b"".join(r[2] for r in s)).reshape(len(s), -1), s, np.array([r[0] for r in s], np.int64)) for s in sides]
+    (xa, sa, ia), (xb, sb, ib) = mats[0], mats[-1]
+    p, q = np.nonzero(xa @ xb.T >= cosine - 1e-9)
+    keep = ia[p] < ib[q] if i == j else ia[p] != ib[q]
+    p, q = p[keep], q[keep]
     if not len(p):
-        return empty
-    ids = np.concatenate([ia[p], ib[q]])
-    u, n = np.unique(ids, return_counts=True)
-    forest = _forest(ia[p], ib[q])
-    return pd.DataFrame(
-        {
-            "vec_id": np.concatenate([u, forest[:, 0]]),
-            "n_links": np.concatenate([n, np.zeros(len(forest), np.int64)]),
-            "other": np.concatenate([u, forest[:, 1]]),
-        }
+        return none
+    # Bucket ids up to this one, by vector; what is larger cannot be a smaller common one.
+    width = max(len(r[3]) for r in rows) // 8
+    none_left = np.iinfo(np.int64).max
+
+    def lists(side: list[tuple], pad: int) -> np.ndarray:
+        out = np.full((len(side), width), pad, np.int64)
+        for k, r in enumerate(side):
+            v = np.frombuffer(r[3], np.int64)
+            out[k, : len(v)] = v
+        return np.where(out > bucket, pad, out)
+
+    la, lb = lists(sa, none_left), lists(sb, none_left - 1)
+    first = []
+    for k in range(0, len(p), 20_000):
+        u, v = p[k : k + 20_000], q[k : k + 20_000]
+        exact = (xa[u] * xb[v]).sum(1) >= cosine
+        smaller = np.where((la[u][:, :, None] == lb[v][:, None, :]).any(2), la[u], none_left).min(1)
+        first.append(exact & (smaller == bucket))
+    here = np.concatenate(first)
+    return ia[p[here]], ib[q[here]]
+
+
+def _summed(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    """Links as counts by vector (other = itself) and a spanning forest (no count)."""
+    x, y = np.concatenate(a), np.concatenate(b)
+    u, n = np.unique(np.concatenate([x, y]), return_counts=True)
+    tree = _forest(x, y)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([u, tree[:, 0]])), pa.array(np.concatenate([n, np.zeros(len(tree), np.int64)])), pa.array(np.concatenate([u, tree[:, 1]]))], ["vec_id", "n_links", "other"]
     )
 
 
+def _compare(cosine: float):
+    """Block pairs of a partition sorted by (group, bucket, i, j), one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key: tuple | None = None
+        a: list[np.ndarray] = []
+        b: list[np.ndarray] = []
+        size = 0
+
+        def done() -> None:
+            nonlocal size
+            if len(held) > 1:
+                x, y = _links(held, key[1], key[2], key[3], cosine)
+                if len(x):
+                    a.append(x)
+                    b.append(y)
+                    size += len(x)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:4] != key:
+                    done()
+                    held, key = [], row[:4]
+                    if size >= _HELD:
+                        yield _summed(a, b)
+                        a.clear()
+                        b.clear()
+                        size = 0
+                held.append(row[4:])
+        done()
+        if a:
+            yield _summed(a, b)
+
+    return run
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """(vertex, root) rows that connect what the pairs connect."""
     u, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -181,12 +219,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     # Vector i of a bucket goes to every block pair that its block is part of.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = member.select("vec_id", "label", "bucket", "block", other.alias("o")).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
-    full = pairs.join(hashed.select("vec_id", "x", "b"), "vec_id")
-    found = cut(
-        full.groupBy("label", "bucket", F.lit(0).alias("z"), "i", "j").applyInPandas(
-            lambda key, pdf: _compare(key, pdf, cosine), "vec_id long, n_links long, other long"
-        )
-    )
+    full = pairs.join(hashed.select("vec_id", "x", "b"), "vec_id").select("label", "bucket", "i", "j", "vec_id", "block", "x", "b")
+    keys = ["label", "bucket", "i", "j"]
+    parts = max(8, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = full.repartition(parts, *keys).sortWithinPartitions(*keys)
+    found = cut(dealt.mapInArrow(lean(_compare(cosine)), "vec_id long, n_links long, other long"))
     counts = found.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
     comps = connected_components(found.where("vec_id <> other").select(F.col("vec_id").alias("src"), F.col("other").alias("dst")))
     out = src.select("vec_id").join(counts, "vec_id", "left").join(comps.select(F.col("id").alias("vec_id"), "component"), "vec_id", "left")
