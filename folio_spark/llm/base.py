@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,8 +49,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nobody holds any more: disk holds one phase at a time."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round drops what the second one's references hold
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 #: Bits of a filter of ids; it never gets larger, so it may be broadcast however many ids it is given.

@@ -31,7 +31,9 @@ from folio_spark.llm.bytesops import Words, chunks, mix
 from folio_spark.llm.op9_katz import END, RELIABLE, START, good_turing
 
 #: Tokens after which a block is closed.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 2_000_000
+#: Rounds in which the histories' buckets are dealt with: disk holds one round's pairs at a time.
+PASSES = 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _KINDS = {"u8": np.uint64, "i8": np.int64, "u4": np.uint32, "u2": np.uint16, "f8": np.float64, "u1": np.uint8}
 
@@ -231,8 +233,8 @@ class Shared:
         return np.where(c > 0, _discounts(c, d) * c * self.scale, self.unknown)
 
 
-def _score_words(k: int, shared: Shared):
-    """Base scores of a block's documents, and its pairs for their histories' buckets."""
+def _score_words(k: int, shared: Shared, part: int, parts: int):
+    """Base scores of a block's documents (in the first part), and its pairs for the part's history buckets."""
     lift = shared.tokens + 0.5 * (shared.types + 1)
 
     def run(batches):
@@ -252,16 +254,15 @@ def _score_words(k: int, shared: Shared):
                 heads = np.concatenate([[0], np.cumsum(lens)[:-1]])
                 base = np.add.reduceat(np.log10((c + 0.5) / lift)[inv], heads)
                 known = np.add.reduceat((c > 0)[inv].astype(np.int64), heads)
-                yield _table(
-                    bucket=pa.array([abs(key) % k]), block=pa.array([key]), docs=pa.array([pack(ids, train, lens, known, base)]),
-                    names=pa.array([None], pa.binary()), pairs=pa.array([None], pa.binary()), places=pa.array([None], pa.binary()),
-                )
-                yield _pairs_of(key, k, shared, train, lens, heads, u, inv, c)
+                if part == 0:
+                    none = pa.array([None], pa.binary())
+                    yield _table(bucket=pa.array([abs(key) % k]), block=pa.array([key]), docs=pa.array([pack(ids, train, lens, known, base)]), names=none, pairs=none, places=none)
+                yield _pairs_of(key, k, shared, train, lens, heads, u, inv, c, part, parts)
 
     return run
 
 
-def _pairs_of(key, k, shared, train, lens, heads, u, inv, c) -> pa.RecordBatch:
+def _pairs_of(key, k, shared, train, lens, heads, u, inv, c, part, parts) -> pa.RecordBatch:
     n = len(u)
     left = np.empty_like(inv)
     left[1:] = inv[:-1]
@@ -272,10 +273,11 @@ def _pairs_of(key, k, shared, train, lens, heads, u, inv, c) -> pa.RecordBatch:
     rank = np.empty(n + 1, np.int64)
     rank[np.argsort(bucket_of, kind="stable")] = np.arange(n + 1)
     back = np.argsort(rank)
-    pair, at = np.unique(rank[left] * n + inv, return_inverse=True)
+    mine = np.flatnonzero(bucket_of[left] % parts == part)
+    doc = np.repeat(np.arange(len(lens)), lens)[mine]
+    pair, at = np.unique(rank[left[mine]] * n + inv[mine], return_inverse=True)
     h1, h2 = back[pair // n], pair % n
-    seen = np.bincount(at, weights=np.repeat(train, lens), minlength=len(pair)).astype(np.int64)
-    doc = np.repeat(np.arange(len(lens)), lens)
+    seen = np.bincount(at, weights=train[doc], minlength=len(pair)).astype(np.int64)
     place, times = np.unique(at * len(lens) + doc, return_counts=True)
     where, which = place // len(lens), place % len(lens)
     bounds = np.searchsorted(bucket_of[h1], np.arange(k + 1))
@@ -355,7 +357,7 @@ def _sum_shares(batches):
         yield _table(id=pa.array(ids.view(np.int64)), train=pa.array(train.astype(bool)), n_tokens=pa.array(lens), n_known=pa.array(known), base_score=pa.array(base), score=pa.array(score))
 
 
-def score_corpus(docs: DataFrame, id_col: str, text_col: str, train: Column, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, Shared]:
+def score_corpus(docs: DataFrame, id_col: str, text_col: str, train: Column, block_tokens: int = BLOCK_TOKENS, passes: int = PASSES) -> tuple[DataFrame, Shared]:
     """``id, train, n_tokens, n_known, base_score, score`` of every row, and the model's shared numbers.
 
     ``docs`` must give the same partitions each time it is scanned, as a stored table does, and
@@ -369,18 +371,31 @@ def score_corpus(docs: DataFrame, id_col: str, text_col: str, train: Column, blo
     def dealt(df: DataFrame, key: str) -> DataFrame:
         return df.repartition(k, key).sortWithinPartitions(key)
 
-    requests = src.mapInArrow(lean(_word_requests(k, block_tokens)), "bucket long, block long, data binary")
-    answers = cut(dealt(requests, "bucket").mapInArrow(lean(_word_answers), "bucket long, block long, data binary, stats array<long>"))
+    def answers_of() -> DataFrame:
+        requests = src.mapInArrow(lean(_word_requests(k, block_tokens)), "bucket long, block long, data binary")
+        return cut(dealt(requests, "bucket").mapInArrow(lean(_word_answers), "bucket long, block long, data binary, stats array<long>"))
+
+    def pair_stats_of() -> np.ndarray:
+        pairs = src.mapInArrow(lean(_pair_requests(k, block_tokens)), "bucket long, data binary")
+        return _stats(dealt(pairs, "bucket").mapInArrow(lean(_pair_stats), "stats array<long>"))
+
+    def shares_of(part: int) -> DataFrame:
+        replies = answers.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("answers"))
+        rows = src.mapInArrow(lean(_block_rows(block_tokens)), "block long, docs binary, words binary, tokens binary")
+        met = rows.join(replies.hint("shuffle_hash"), "block", "left")
+        kinds = "bucket long, block long, docs binary, names binary, pairs binary, places binary"
+        pairs = dealt(met.mapInArrow(lean(_score_words(k, shared, part, passes)), kinds), "bucket")
+        return cut(pairs.mapInArrow(lean(_score_pairs(shared)), "block long, docs binary, share binary"))
+
+    # Each phase in a function of its own: when it returns, nothing holds its shuffles.
+    answers = answers_of()
     free_shuffles(spark)
-    pairs = src.mapInArrow(lean(_pair_requests(k, block_tokens)), "bucket long, data binary")
-    pair_stats = _stats(dealt(pairs, "bucket").mapInArrow(lean(_pair_stats), "stats array<long>"))
+    pair_stats = pair_stats_of()
     free_shuffles(spark)
     shared = Shared(_stats(answers.where("stats IS NOT NULL")), pair_stats, src.where("train").count())
-    replies = answers.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("answers"))
-    rows = src.mapInArrow(lean(_block_rows(block_tokens)), "block long, docs binary, words binary, tokens binary")
-    met = rows.join(replies.hint("shuffle_hash"), "block", "left")
-    kinds = "bucket long, block long, docs binary, names binary, pairs binary, places binary"
-    shares = dealt(met.mapInArrow(lean(_score_words(k, shared)), kinds), "bucket").mapInArrow(lean(_score_pairs(shared)), "block long, docs binary, share binary")
-    shares = cut(shares)
-    free_shuffles(spark)
+    shares = None
+    for part in range(passes):
+        more = shares_of(part)
+        shares = more if shares is None else shares.unionByName(more)
+        free_shuffles(spark)
     return dealt(shares, "block").mapInArrow(lean(_sum_shares), "id long, train boolean, n_tokens long, n_known long, base_score double, score double"), shared
