@@ -226,8 +226,20 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = F
         bits <<= 1
     packed = docs.sparkSession.sparkContext.broadcast(id_filter(repeated, bits))
     suffixes = src.mapInArrow(lean(_context_rows(min_words, packed)), "id long, pos int, seed long, before binary, after binary")
-    suffixes = suffixes.repartition("seed").sortWithinPartitions("seed", "after", "before", "id", "pos")
-    marks = suffixes.mapInArrow(lean(_compare(min_words, within)), "id long, start long, stop long, source_id long, source_start long")
+    # Suffixes of equal words all around are one class: its first stands for it, the others are copies of the first.
+    # Classes are aggregated before they are shuffled, so a passage in a third of all documents costs a row a task.
+    k = min_words // 2
+    before, after = F.length("before") / 4, F.length("after") / 4
+    suffixes = suffixes.where(before + after + k >= min_words).withColumn("words", F.xxhash64("seed", "before", "after"))
+    first = F.min(F.struct("id", "pos")).alias("f")
+    classes = cut(suffixes.groupBy("words").agg(first, F.first("seed").alias("seed"), F.first("before").alias("before"), F.first("after").alias("after")))
+    narrow = suffixes.select("words", "id", F.col("pos").cast("long").alias("pos"), before.cast("long").alias("nb"), after.cast("long").alias("na"))
+    later = (F.struct("id", "pos") > F.struct(F.col("f.id"), F.col("f.pos").cast("long"))) if within else (F.col("id") > F.col("f.id"))
+    copies = narrow.join(classes.select("words", "f"), "words").where(later)
+    copies = copies.select("id", (F.col("pos") - F.col("nb")).alias("start"), (F.col("pos") + k + F.col("na")).alias("stop"), F.col("f.id").alias("source_id"), (F.col("f.pos") - F.col("nb")).alias("source_start"))
+    heads = classes.select(F.col("f.id").alias("id"), F.col("f.pos").alias("pos"), "seed", "before", "after")
+    heads = heads.repartition("seed").sortWithinPartitions("seed", "after", "before", "id", "pos")
+    marks = heads.mapInArrow(lean(_compare(min_words, within)), "id long, start long, stop long, source_id long, source_start long").unionByName(copies)
     # Overlapping marks of a document become one span; the source is that of its longest mark.
     merged = marks.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "source_id", "source_start"))).alias("m"))
     folded = F.expr(
