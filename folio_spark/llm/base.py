@@ -49,7 +49,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nobody holds any more: disk holds one phase at a time."""
-    for _ in range(2):  # the first round drops what the second one's references hold
+    for _ in range(5):  # the first rounds drop what later ones refer to
+        spark.range(1).collect()  # the session still holds the last query it ran: let that be this one
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)
