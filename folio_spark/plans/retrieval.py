@@ -133,7 +133,7 @@ c AS (SELECT p_partkey, p_name, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN
     contains(p_name, 'ring') AS dedicated, occurrences, pages, has_section FROM part JOIN occ ON p_partkey = l_partkey),
 s AS (SELECT *, CASE WHEN dedicated THEN 100 WHEN authority >= 80 THEN 70 ELSE 40 END + least(20, 2 * occurrences) + least(10, pages) + authority * {aw} + CASE WHEN has_section THEN 100 * {sw} ELSE 0 END AS relevance
   FROM c WHERE dedicated OR authority >= 80)
-SELECT p_partkey, p_name, CASE WHEN dedicated THEN 'dedicated' WHEN authority >= 80 THEN 'section' ELSE 'reference' END AS match_type, round(relevance, 6) AS relevance
+SELECT p_partkey, p_name, CASE WHEN dedicated THEN 'dedicated' WHEN authority >= 80 THEN 'section' ELSE 'reference' END AS match_type, round(relevance::DOUBLE, 6) AS relevance
 FROM s WHERE relevance >= {least} ORDER BY s.relevance DESC, p_partkey LIMIT {k}
 """
 

@@ -226,7 +226,7 @@ def claim_verify(spark: SparkSession, d: str) -> DataFrame:
     c AS (SELECT item_id, len(list_intersect(b.w, d.w)) / len(b.w) AS overlap FROM b JOIN d ON d.doc_id % (SELECT count(*) FROM benchmark) = item_id),
     a AS (SELECT item_id, count(*) FILTER (WHERE overlap <= 0.1) AS high, count(*) FILTER (WHERE overlap > 0.1 AND overlap <= 0.2) AS medium, count(*) FILTER (WHERE overlap > 0.2 AND overlap <= 0.3) AS low FROM c GROUP BY 1),
     s AS (SELECT *, greatest(0, 1 - 0.3 * high - 0.1 * medium - 0.02 * low) AS score FROM a)
-    SELECT item_id, high, medium, low, round(score, 6) AS score, CASE WHEN high > 0 THEN 'failed' WHEN score >= 0.9 THEN 'passed' ELSE 'review' END AS status FROM s""",
+    SELECT item_id, high, medium, low, round(score::DOUBLE, 6) AS score, CASE WHEN high > 0 THEN 'failed' WHEN score >= 0.9 THEN 'passed' ELSE 'review' END AS status FROM s""",
 )
 def verification_score(spark: SparkSession, d: str) -> DataFrame:
     bench = table(spark, d, "benchmark")
