@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio_spark.llm.base import cut, id_filter, lean, may_hold, table
+from folio_spark.llm.base import cut, free_shuffles, id_filter, lean, may_hold, table
 from folio_spark.llm.bytesops import Words, chunks
 
 MIN_WORDS = 50
@@ -233,6 +233,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = F
     suffixes = suffixes.where(before + after + k >= min_words).withColumn("words", F.xxhash64("seed", "before", "after"))
     first = F.min(F.struct("id", "pos")).alias("f")
     classes = cut(suffixes.groupBy("words").agg(first, F.first("seed").alias("seed"), F.first("before").alias("before"), F.first("after").alias("after")))
+    free_shuffles(docs.sparkSession)
     narrow = suffixes.select("words", "id", F.col("pos").cast("long").alias("pos"), before.cast("long").alias("nb"), after.cast("long").alias("na"))
     later = (F.struct("id", "pos") > F.struct(F.col("f.id"), F.col("f.pos").cast("long"))) if within else (F.col("id") > F.col("f.id"))
     copies = narrow.join(classes.select("words", "f"), "words").where(later)
