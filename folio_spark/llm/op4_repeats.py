@@ -165,7 +165,7 @@ def _compare(min_words: int, within: bool):
         order = [rank[x] for x in place]
         context = [0]
         for a, b in zip(rows[:-1], rows[1:], strict=True):
-            context.append(context[-1] + (a[2:] != b[2:]))
+            context.append(context[-1] + (a[2:5] != b[2:5]))
         later, earlier, stack = nearest_earlier(seed, order, context)
         carry = [rows[i] for i in stack]
         if not len(later):
@@ -186,8 +186,9 @@ def _compare(min_words: int, within: bool):
                     pa.array(pos_a[later] + k + right),
                     pa.array(ids_a[earlier]),
                     pa.array(pos_a[earlier] - left),
+                    pa.array([rows[i][5] for i in later], pa.int64()),
                 ],
-                ["id", "start", "stop", "source_id", "source_start"],
+                ["id", "start", "stop", "source_id", "source_start", "words"],
             ),
             carry,
         )
@@ -235,12 +236,19 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = F
     classes = cut(suffixes.groupBy("words").agg(first, F.first("seed").alias("seed"), F.first("before").alias("before"), F.first("after").alias("after")))
     free_shuffles(docs.sparkSession)
     narrow = suffixes.select("words", "id", F.col("pos").cast("long").alias("pos"), before.cast("long").alias("nb"), after.cast("long").alias("na"))
-    later = (F.struct("id", "pos") > F.struct(F.col("f.id"), F.col("f.pos").cast("long"))) if within else (F.col("id") > F.col("f.id"))
-    copies = narrow.join(classes.select("words", "f"), "words").where(later)
-    copies = copies.select("id", (F.col("pos") - F.col("nb")).alias("start"), (F.col("pos") + k + F.col("na")).alias("stop"), F.col("f.id").alias("source_id"), (F.col("f.pos") - F.col("nb")).alias("source_start"))
-    heads = classes.select(F.col("f.id").alias("id"), F.col("f.pos").alias("pos"), "seed", "before", "after")
+    f_id, f_pos = F.col("f.id"), F.col("f.pos").cast("long")
+    later = (F.struct("id", "pos") > F.struct(f_id, f_pos)) if within else (F.col("id") > f_id)
+    # Further places of a class in its head's own document are no copies of an earlier one, but what the head repeats they repeat.
+    own = (F.col("id") == f_id) & (F.col("pos") != f_pos) & F.lit(not within)
+    places = cut(narrow.join(classes.select("words", "f"), "words").where(later | own))
+    free_shuffles(docs.sparkSession)
+    copies = places.where(later).select("id", (F.col("pos") - F.col("nb")).alias("start"), (F.col("pos") + k + F.col("na")).alias("stop"), f_id.alias("source_id"), (f_pos - F.col("nb")).alias("source_start"))
+    heads = classes.select(f_id.alias("id"), F.col("f.pos").alias("pos"), "seed", "before", "after", "words")
     heads = heads.repartition("seed").sortWithinPartitions("seed", "after", "before", "id", "pos")
-    marks = heads.mapInArrow(lean(_compare(min_words, within)), "id long, start long, stop long, source_id long, source_start long").unionByName(copies)
+    found = cut(heads.mapInArrow(lean(_compare(min_words, within)), "id long, start long, stop long, source_id long, source_start long, words long"))
+    shifted = found.join(places.where(own).select("words", (F.col("pos") - f_pos).alias("shift")), "words")
+    shifted = shifted.select("id", (F.col("start") + F.col("shift")).alias("start"), (F.col("stop") + F.col("shift")).alias("stop"), "source_id", "source_start")
+    marks = found.drop("words").unionByName(shifted).unionByName(copies)
     # Overlapping marks of a document become one span; the source is that of its longest mark.
     merged = marks.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "source_id", "source_start"))).alias("m"))
     folded = F.expr(

@@ -153,6 +153,24 @@ def test_repeated_spans(spark, monkeypatch, slab):
     assert got == brute_repeats(rows, 20)
 
 
+def marked(spark, rows, least):
+    got = {}
+    for r in op4_repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), least).collect():
+        assert r.source_id < r.doc_id
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    return got
+
+
+def test_repeats_of_a_passage_within_a_later_document(spark):
+    """A document that holds a passage several times in equal surroundings: all of its places are marked."""
+    rng = np.random.RandomState(6)
+    p = prose(rng, 60, 5000)
+    rows = [(1, " ".join(["x", *p, "y"])), (2, " ".join(["a", *p, "b"] * 3)), (3, " ".join(prose(rng, 40, 5000) + ["a", *p, "b"] * 2))]
+    got = marked(spark, rows, 50)
+    assert got == brute_repeats(rows, 50)
+    assert len(got[2]) == 180
+
+
 def test_dropping_repeats(spark, docs):
     p = " ".join(f"p{i}" for i in range(60))
     df = spark.createDataFrame([(1, f"a b {p} c", 0), (2, f"x {p}  y\nz", 9), (3, p, 9), (4, None, None), (5, "", 0), (6, "short", 5)], "doc_id long, text string, n_chars long")
