@@ -2,10 +2,11 @@
 
 Suffixes are kept only where a word position is the minimiser of its window of seed hashes, so
 any passage of ``min_words`` words keeps the same suffixes wherever it stands.  Suffixes whose
-seed occurs once are dropped.  The others are sorted by seed and following words; each is
-compared with its nearest neighbours on either side that come earlier in the corpus (previous
-and next smaller values of the suffix array), and the match is extended right and left.  A
-match of ``min_words`` marks the later copy, so the first copy of every passage stays.
+seed occurs once are dropped.  Those of equal words all around are one class, which its first
+place stands for.  Where a seed has several classes, each passage of ``min_words`` words that a
+suffix is the minimiser of, cut into the words before and after the seed, meets the same passage
+of the other classes; the earliest place of it marks the later ones, so the first copy of every
+passage stays.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio_spark.llm.base import cut, free_shuffles, id_filter, lean, may_hold, table
-from folio_spark.llm.bytesops import Words, chunks
+from folio_spark.llm.bytesops import _ODD, Words, chunks, mix
 
 MIN_WORDS = 50
-#: Rows that a task compares at a time.
+#: Suffixes that a task cuts into passages at a time.
 SLAB = 40_000
 #: Bits of the seed filter at most (16 MB).
 SEED_BITS = 1 << 27
@@ -37,8 +38,8 @@ def _slide(a: np.ndarray, n: int, op) -> np.ndarray:
     return op(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(words: Words, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word indices and seed hashes of the kept suffixes of a chunk.
+def anchors(words: Words, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word indices and seed hashes of the kept suffixes of a chunk, and the least seed hash of the passage from each word (0 if it leaves the row).
 
     Seeds are ``min_words // 2`` words; a window holds as many seeds as fit in ``min_words`` words.
     All positions that tie for the minimum are kept, which depends on the words alone.
@@ -47,7 +48,7 @@ def anchors(words: Words, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     width = min_words - k + 1
     total = len(words.hash)
     if total < min_words:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     g = words.grams(k)
     low = _slide(g, width, np.minimum)  # low[q]: minimum of the window from q, a passage of min_words words
     row_end = np.repeat(words.first[1:], np.diff(words.first))[: len(low)]
@@ -57,14 +58,26 @@ def anchors(words: Words, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     padded = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
     high = _slide(padded, width, np.maximum)[: len(g)]
     at = np.flatnonzero((high == g) & (high > 0))
-    return at, g[at]
+    return at, g[at], low
+
+
+def _splits(at: np.ndarray, seeds: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest and most words before each suffix in the passages that it is the minimiser of; what lies between are such passages, too."""
+    fewest, most = np.full(len(at), width, np.int32), np.full(len(at), -1, np.int32)
+    for n in range(width):
+        q = at - n
+        ok = (q >= 0) & (q < len(low))
+        ok[ok] = low[q[ok]] == seeds[ok]
+        most[ok] = n
+        fewest[ok] = np.minimum(fewest[ok], n)
+    return fewest, most
 
 
 def _anchor_rows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, off in chunks(batch.column(1)):
-                _, seeds = anchors(Words(data, off), min_words)
+                _, seeds, _ = anchors(Words(data, off), min_words)
                 yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64))], ["seed"])
 
     return run
@@ -81,9 +94,10 @@ def _context_rows(min_words: int, packed):
             ids = batch.column(0)
             for first_row, _, data, off in chunks(batch.column(1)):
                 w = Words(data, off)
-                at, seeds = anchors(w, min_words)
+                at, seeds, low = anchors(w, min_words)
                 hold = may_hold(bits, seeds.view(np.int64))
                 at, seeds = at[hold], seeds[hold]
+                fewest, most = _splits(at, seeds, low, reach + 1)
                 row = np.searchsorted(w.first, at, "right") - 1
                 lo, hi = w.first[row], w.first[row + 1]
                 short = (w.hash >> np.uint64(32)).astype(">u4")
@@ -97,8 +111,10 @@ def _context_rows(min_words: int, packed):
                         pa.array(seeds.view(np.int64)),
                         _runs(short, at - 1, n_left, -1),
                         _runs(short, at + k, n_right, 1),
+                        pa.array(fewest),
+                        pa.array(most),
                     ],
-                    ["id", "pos", "seed", "before", "after"],
+                    ["id", "pos", "seed", "before", "after", "fewest", "most"],
                 )
 
     return run
@@ -113,100 +129,35 @@ def _runs(values: np.ndarray, start: np.ndarray, length: np.ndarray, step: int)
     return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(values[at].tobytes())])
 
 
-def _matrix(column: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    n = np.array([len(x) // 4 for x in column], np.int64)
-    out = np.frombuffer(b"".join(x.ljust(width * 4, b"\0") for x in column), ">u4").reshape(len(column), width)
-    return out, n
-
-
-def _common(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Length of the common beginnings of the rows."""
-    if not len(a):
-        return np.zeros(0, np.int64)
-    equal = a == b
-    lcp = np.where(equal.all(1), a.shape[1], equal.argmin(1))
-    return np.minimum(lcp, np.minimum(na, nb))
-
+def _prefixes(column: list[bytes], width: int) -> np.ndarray:
+    """Hashes of the first 0 to ``width`` words of the rows."""
+    m = np.frombuffer(b"".join(x.ljust(width * 4, b"\0") for x in column), ">u4").reshape(len(column), width).astype(np.uint64)
+    out = np.zeros((len(column), width + 1), np.uint64)
+    for i in range(width):
+        out[:, i + 1] = (out[:, i] + m[:, i] + np.uint64(1)) * _ODD
+    return mix(out)
 
-def nearest_earlier(seed: list, order: list, context: list) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Pairs (later, earlier) of each entry with its nearest earlier neighbours, and the entries left on the stack.
 
-    ``order`` ranks the entries in the corpus; entries of one ``context`` have equal words all
-    around and stand together, the earliest first.  Later ones of them are paired but not pushed:
-    whatever they could match, the first does.
-    """
-    later, earlier, stack = [], [], []
-    for i, o in enumerate(order):
-        if stack and seed[stack[-1]] != seed[i]:
-            stack.clear()
-        while stack and order[stack[-1]] > o:
-            later.append(stack.pop())
-            earlier.append(i)
-        below = len(stack) - 1
-        while below >= 0 and order[stack[below]] == o:  # entries of one rank are no match for each other
-            below -= 1
-        if below >= 0:
-            later.append(i)
-            earlier.append(stack[below])
-        if not stack or context[stack[-1]] != context[i]:
-            stack.append(i)
-    return np.array(later, np.int64), np.array(earlier, np.int64), stack
-
-
-def _compare(min_words: int, within: bool):
-    """Marks later copies in partitions sorted by seed, following words, document and position."""
-    k = min_words // 2
-    reach = min_words - k
-
-    def work(rows: list[tuple]) -> tuple[pa.RecordBatch | None, list[tuple]]:
-        ids, pos, seed = [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
-        place = list(zip(ids, pos, strict=True)) if within else ids
-        rank = {x: i for i, x in enumerate(sorted(set(place)))}
-        order = [rank[x] for x in place]
-        context = [0]
-        for a, b in zip(rows[:-1], rows[1:], strict=True):
-            context.append(context[-1] + (a[2:5] != b[2:5]))
-        later, earlier, stack = nearest_earlier(seed, order, context)
-        carry = [rows[i] for i in stack]
-        if not len(later):
-            return None, carry
-        before, nb = _matrix([r[3] for r in rows], reach)
-        after, na = _matrix([r[4] for r in rows], reach)
-        left = _common(before[later], nb[later], before[earlier], nb[earlier])
-        right = _common(after[later], na[later], after[earlier], na[earlier])
-        long = np.flatnonzero(left + k + right >= min_words)
-        later, earlier, left, right = later[long], earlier[long], left[long], right[long]
-        ids_a, pos_a = np.array(ids, np.int64), np.array(pos, np.int64)
-        start = pos_a[later] - left
-        return (
-            pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids_a[later]),
-                    pa.array(start),
-                    pa.array(pos_a[later] + k + right),
-                    pa.array(ids_a[earlier]),
-                    pa.array(pos_a[earlier] - left),
-                    pa.array([rows[i][5] for i in later], pa.int64()),
-                ],
-                ["id", "start", "stop", "source_id", "source_start", "words"],
-            ),
-            carry,
-        )
+def _passage_rows(min_words: int):
+    """A row for each passage that a suffix is the minimiser of: its hash, the suffix and the words before it."""
+    reach = min_words - min_words // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
         for batch in batches:
             for i in range(0, batch.num_rows, SLAB):
                 part = batch.slice(i, SLAB)
-                held += zip(*(c.to_pylist() for c in part.columns), strict=True)
-                if len(held) >= SLAB:
-                    out, held = work(held)
-                    if out is not None:
-                        yield out
-        if held:
-            out, _ = work(held)
-            if out is not None:
-                yield out
+                seed = np.asarray(part.column(3)).view(np.uint64)
+                fewest, most = np.asarray(part.column(6)), np.asarray(part.column(7))
+                before, after = _prefixes(part.column(4).to_pylist(), reach), _prefixes(part.column(5).to_pylist(), reach)
+                for n in range(reach + 1):
+                    at = np.flatnonzero((fewest <= n) & (n <= most))
+                    if len(at):
+                        key = mix(mix(mix(seed[at] + np.uint64(n)) + before[at, n]) + after[at, reach - n])
+                        take = pa.array(at)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(key.view(np.int64)), *(part.column(c).take(take) for c in range(3)), pa.array(np.full(len(at), n, np.int32))],
+                            ["passage", "words", "id", "pos", "n"],
+                        )
 
     return run
 
@@ -226,14 +177,14 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = F
     while bits < SEED_BITS and bits < 16 * repeated.count():
         bits <<= 1
     packed = docs.sparkSession.sparkContext.broadcast(id_filter(repeated, bits))
-    suffixes = src.mapInArrow(lean(_context_rows(min_words, packed)), "id long, pos int, seed long, before binary, after binary")
+    suffixes = src.mapInArrow(lean(_context_rows(min_words, packed)), "id long, pos int, seed long, before binary, after binary, fewest int, most int")
     # Suffixes of equal words all around are one class: its first stands for it, the others are copies of the first.
     # Classes are aggregated before they are shuffled, so a passage in a third of all documents costs a row a task.
     k = min_words // 2
     before, after = F.length("before") / 4, F.length("after") / 4
     suffixes = suffixes.where(before + after + k >= min_words).withColumn("words", F.xxhash64("seed", "before", "after"))
     first = F.min(F.struct("id", "pos")).alias("f")
-    classes = cut(suffixes.groupBy("words").agg(first, F.first("seed").alias("seed"), F.first("before").alias("before"), F.first("after").alias("after")))
+    classes = cut(suffixes.groupBy("words").agg(first, *(F.first(c).alias(c) for c in ("seed", "before", "after", "fewest", "most"))))
     free_shuffles(docs.sparkSession)
     narrow = suffixes.select("words", "id", F.col("pos").cast("long").alias("pos"), before.cast("long").alias("nb"), after.cast("long").alias("na"))
     f_id, f_pos = F.col("f.id"), F.col("f.pos").cast("long")
@@ -243,9 +194,17 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = F
     places = cut(narrow.join(classes.select("words", "f"), "words").where(later | own))
     free_shuffles(docs.sparkSession)
     copies = places.where(later).select("id", (F.col("pos") - F.col("nb")).alias("start"), (F.col("pos") + k + F.col("na")).alias("stop"), f_id.alias("source_id"), (f_pos - F.col("nb")).alias("source_start"))
-    heads = classes.select(f_id.alias("id"), F.col("f.pos").alias("pos"), "seed", "before", "after", "words")
-    heads = heads.repartition("seed").sortWithinPartitions("seed", "after", "before", "id", "pos")
-    found = cut(heads.mapInArrow(lean(_compare(min_words, within)), "id long, start long, stop long, source_id long, source_start long, words long"))
+    # Classes of one seed meet in the passages they share; the earliest place of each passage marks the others.
+    several = classes.groupBy("seed").agg(F.count("*").alias("n"), F.min("f.id").alias("a"), F.max("f.id").alias("b")).where(F.col("n") > 1 if within else F.col("a") < F.col("b"))
+    heads = classes.join(several.select("seed"), "seed", "left_semi").select("words", f_id.alias("id"), F.col("f.pos").alias("pos"), "seed", "before", "after", "fewest", "most")
+    passages = heads.mapInArrow(lean(_passage_rows(min_words)), "passage long, words long, id long, pos int, n int")
+    firsts = passages.groupBy("passage").agg(first, F.max(F.struct("id", "pos")).alias("l")).where("l > f" if within else "l.id > f.id").select("passage", "f")
+    met = passages.join(firsts, "passage").where(F.struct("id", "pos") > F.col("f") if within else F.col("id") > f_id)
+    # Passages of a suffix that one place marks lie side by side: all between the first and the last are found there, too.
+    runs = met.groupBy("words", "id", "pos", "f").agg(F.min("n").alias("fewest"), F.max("n").alias("most"))
+    start, stop = (F.col("pos") - F.col("most")).cast("long"), (F.col("pos") - F.col("fewest") + min_words).cast("long")
+    found = cut(runs.select("id", start.alias("start"), stop.alias("stop"), f_id.alias("source_id"), (f_pos - F.col("most")).alias("source_start"), "words"))
+    free_shuffles(docs.sparkSession)
     shifted = found.join(places.where(own).select("words", (F.col("pos") - f_pos).alias("shift")), "words")
     shifted = shifted.select("id", (F.col("start") + F.col("shift")).alias("start"), (F.col("stop") + F.col("shift")).alias("stop"), "source_id", "source_start")
     marks = found.drop("words").unionByName(shifted).unionByName(copies)

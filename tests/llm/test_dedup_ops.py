@@ -171,6 +171,18 @@ def test_repeats_of_a_passage_within_a_later_document(spark):
     assert len(got[2]) == 180
 
 
+@pytest.mark.parametrize("lead", [5, 15, 20])
+def test_repeats_around_a_frequent_line(spark, lead):
+    """Pairs of documents share words before a line that all documents hold, and nothing after it."""
+    rng = np.random.RandomState(lead)
+    line = prose(rng, 55 - lead if lead > 5 else 45, 9000)
+    heads = [prose(rng, lead, 9000) for _ in range(60)]
+    rows = [(i, " ".join(prose(rng, 30, 9000) + heads[i % 60] + line + prose(rng, 40, 9000))) for i in range(120)]
+    got = marked(spark, rows, 50)
+    assert got == brute_repeats(rows, 50)
+    assert len(got) == 60
+
+
 def test_dropping_repeats(spark, docs):
     p = " ".join(f"p{i}" for i in range(60))
     df = spark.createDataFrame([(1, f"a b {p} c", 0), (2, f"x {p}  y\nz", 9), (3, p, 9), (4, None, None), (5, "", 0), (6, "short", 5)], "doc_id long, text string, n_chars long")
