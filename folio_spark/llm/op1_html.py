@@ -148,6 +148,12 @@ class _Lines(HTMLParser):
             self.owner = self.node
         self.buffer.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # no section the parser knows: a bogus comment up to the next ">", as browsers read it
+            return self.parse_bogus_comment(i)
+
     def error(self, message):  # pragma: no cover
         pass
 
@@ -199,11 +205,8 @@ def extract(html: str | None, sigma: float = 1.0, share: float = 0.5, hold: floa
     if not html:
         return ""
     parser = _Lines()
-    try:
-        parser.feed(html)
-        parser.close()
-    except AssertionError:  # the standard parser asserts on some broken declarations; what was read until then stands
-        pass
+    parser.feed(html)
+    parser.close()
     parser.flush()
     lines = [x for x in parser.lines if not x[0].dropped]
     if not lines:

@@ -40,6 +40,13 @@ def test_extract(html, text):
     assert got == text or html == "<![bad <p>still</p>"  # a broken declaration may swallow what follows, not crash
 
 
+@pytest.mark.parametrize("section", ["<![x]>", "<![]>", "<![ a ]>", "<![>", "<![9[b]]>"])
+def test_text_after_unknown_sections(section):
+    assert op1_html.extract(f"<p>before</p>{section}<p>after one</p>{section}<p>two</p>") == "before\nafter one\ntwo"
+    assert op1_html.extract(f"<head>{section}</head><body><p>all of it</p></body>") == "all of it"
+    assert op1_html.extract("<p>before</p><p>open <![x") == "before\nopen <![x"
+
+
 def test_pages_keep_every_row(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (2, None, None)], "page_id long, url string, html string")
     assert sorted(tuple(r) for r in op1_html.extract_pages(df).collect())[:2] == [(1, "u", "a")] * 2
