@@ -103,9 +103,13 @@ _HELD = 200_000
 
 def _links(rows: list[tuple], bucket: int, i: int, j: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Linked ids of a block pair (or of one block) that meet in no smaller bucket; rows: vec_id, block, x, b."""
+    widths = {len(r[2]) for r in rows}
+    if len(widths) > 1:  # padded to one power of two they may share buckets; vectors link within their width
+        parts = [_links([r for r in rows if len(r[2]) == w], bucket, i, j, cosine) for w in sorted(widths)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     sides = [[r for r in rows if r[1] == k] for k in ([i] if i == j else [i, j])]
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not all(sides) or len({len(r[2]) for r in rows}) > 1:
+    if not all(sides):
         return none
     mats = [(np.frombuffer(b"".join(r[2] for r in s)).reshape(len(s), -1), s, np.array([r[0] for r in s], np.int64)) for s in sides]
     (xa, sa, ia), (xb, sb, ib) = mats[0], mats[-1]

@@ -77,6 +77,19 @@ def test_embedding_links(spark, block):
     assert op2_embedding.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [4, 512])
+def test_truncated_copies_part_no_links(spark, block):
+    """60-wide copies share buckets with 64-wide vectors, which link among themselves all the same."""
+    rng = np.random.RandomState(4)
+    base = rng.standard_normal(64)
+    base[60:] = 0
+    rows = [(i, 0, (base + 0.02 * rng.standard_normal(64)).tolist()) for i in range(12)]
+    rows += [(100 + i, 0, rows[i][2][:60]) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in op2_embedding.near_duplicates(df, block=block).collect()}
+    assert got == {i: (11, 0) for i in range(12)} | {100 + i: (2, 100) for i in range(3)}
+
+
 # -- n-gram Jaccard ---------------------------------------------------------------------------
 
 
