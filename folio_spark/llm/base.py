@@ -21,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, taken) -> str:
+    """``name``, with as many underscores before it as it takes to clash with no name in ``taken`` (case aside)."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; only an unset one (tests) gets a local folder."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
@@ -47,6 +55,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys up to which a side is broadcast (some 32 MB of them); beyond it the join shuffles.
+BROADCAST_KEYS = 1_000_000
+
+
+def join_keys(df: DataFrame, keys: DataFrame, on, how: str) -> DataFrame:
+    """Semi or anti join with a stored frame of distinct narrow keys, which are counted first: few of them spare ``df`` its shuffle."""
+    small = keys.count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if small else keys.hint("shuffle_hash"), on, how)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nobody holds any more: disk holds one phase at a time."""
     for _ in range(5):  # the first rounds drop what later ones refer to
