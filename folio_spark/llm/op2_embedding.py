@@ -10,6 +10,7 @@ becomes many bounded tasks, and only counts and a spanning forest of links leave
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -67,69 +68,69 @@ def usable(v) -> bool:
     return v is not None and len(v) > 0 and np.isfinite(v).all() and bool(np.any(v))
 
 
+_HASHED = "key binary, dim int, x binary, b binary"
+
+
 def hash_vectors(vectors: DataFrame) -> DataFrame:
-    """``vec_id, label, embedding binary (float64), b binary (int64 bucket ids)`` of the rows that can link."""
+    """``vec_id, label`` of every row with ``key`` (digest of the vector), ``dim``, ``x`` (float64, normalised) and ``b`` (int64 bucket ids), null where it can't link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
+                cols: list[list] = [[None] * part.num_rows for _ in range(4)]
                 rows: dict[int, tuple[list, list]] = {}
                 for k, v in enumerate(part.column(2).to_pylist()):
                     if v is None or any(e is None for e in v):
                         continue
                     a = np.array(v, np.float64)
                     if usable(a):
+                        cols[0][k] = hashlib.blake2b((a + 0.0).tobytes(), digest_size=16).digest()  # adding zero makes -0.0 and 0.0 one
                         a = a / np.abs(a).max()  # guards the norm against overflow
                         rows.setdefault(len(a), ([], []))
                         rows[len(a)][0].append(k)
                         rows[len(a)][1].append(a / np.linalg.norm(a))
-                for keys, xs in rows.values():  # vectors of different widths never meet
+                for dim, (keys, xs) in rows.items():
                     x = np.array(xs)
                     b = buckets(x).reshape(len(x), -1)
-                    take = pa.array(keys)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(take), part.column(1).take(take), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in b], pa.binary())],
-                        ["vec_id", "label", "x", "b"],
-                    )
+                    for k, rx, rb in zip(keys, x, b, strict=True):
+                        cols[1][k], cols[2][k], cols[3][k] = dim, rx.tobytes(), rb.tobytes()
+                kinds = [pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["vec_id", "label", "key", "dim", "x", "b"])
 
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    return vectors.mapInArrow(lean(run), f"vec_id {kinds['vec_id']}, label {kinds['label']}, x binary, b binary")
+    return vectors.mapInArrow(lean(run), f"vec_id {kinds['vec_id']}, label {kinds['label']}, {_HASHED}")
 
 
 #: Links a task holds before it sums them up and sends them on.
 _HELD = 200_000
 
 
-def _links(rows: list[tuple], bucket: int, i: int, j: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked ids of a block pair (or of one block) that meet in no smaller bucket; rows: vec_id, block, x, b."""
-    widths = {len(r[2]) for r in rows}
-    if len(widths) > 1:  # padded to one power of two they may share buckets; vectors link within their width
-        parts = [_links([r for r in rows if len(r[2]) == w], bucket, i, j, cosine) for w in sorted(widths)]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    sides = [[r for r in rows if r[1] == k] for k in ([i] if i == j else [i, j])]
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _links(rows: list[tuple], bucket: int, i: int, j: int, cosine: float) -> np.ndarray:
+    """Index pairs [links, 2] into ``rows`` of a block pair (or of one block) that link and meet in no smaller bucket; rows: cid, rep, copies, block, x, b."""
+    sides = [[k for k, r in enumerate(rows) if r[3] == block] for block in ([i] if i == j else [i, j])]
+    none = np.zeros((0, 2), np.int64)
     if not all(sides):
         return none
-    mats = [(np.frombuffer(b"".join(r[2] for r in s)).reshape(len(s), -1), s, np.array([r[0] for r in s], np.int64)) for s in sides]
-    (xa, sa, ia), (xb, sb, ib) = mats[0], mats[-1]
+    mats = [(np.frombuffer(b"".join(rows[k][4] for k in s)).reshape(len(s), -1), np.array(s)) for s in sides]
+    (xa, ia), (xb, ib) = mats[0], mats[-1]
     p, q = np.nonzero(xa @ xb.T >= cosine - 1e-9)
-    keep = ia[p] < ib[q] if i == j else ia[p] != ib[q]
-    p, q = p[keep], q[keep]
+    if i == j:
+        p, q = p[ia[p] < ib[q]], q[ia[p] < ib[q]]
     if not len(p):
         return none
     # Bucket ids up to this one, by vector; what is larger cannot be a smaller common one.
-    width = max(len(r[3]) for r in rows) // 8
+    width = max(len(r[5]) for r in rows) // 8
     none_left = np.iinfo(np.int64).max
 
-    def lists(side: list[tuple], pad: int) -> np.ndarray:
+    def lists(side: np.ndarray, pad: int) -> np.ndarray:
         out = np.full((len(side), width), pad, np.int64)
         for k, r in enumerate(side):
-            v = np.frombuffer(r[3], np.int64)
+            v = np.frombuffer(rows[r][5], np.int64)
             out[k, : len(v)] = v
         return np.where(out > bucket, pad, out)
 
-    la, lb = lists(sa, none_left), lists(sb, none_left - 1)
+    la, lb = lists(ia, none_left), lists(ib, none_left - 1)
     first = []
     for k in range(0, len(p), 20_000):
         u, v = p[k : k + 20_000], q[k : k + 20_000]
@@ -137,52 +138,51 @@ def _links(rows: list[tuple], bucket: int, i: int, j: int, cosine: float) -> tup
         smaller = np.where((la[u][:, :, None] == lb[v][:, None, :]).any(2), la[u], none_left).min(1)
         first.append(exact & (smaller == bucket))
     here = np.concatenate(first)
-    return ia[p[here]], ib[q[here]]
+    return np.stack([ia[p[here]], ib[q[here]]], 1)
 
 
-def _summed(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    """Links as counts by vector (other = itself) and a spanning forest (no count)."""
-    x, y = np.concatenate(a), np.concatenate(b)
-    u, n = np.unique(np.concatenate([x, y]), return_counts=True)
-    tree = _forest(x, y)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([u, tree[:, 0]])), pa.array(np.concatenate([n, np.zeros(len(tree), np.int64)])), pa.array(np.concatenate([u, tree[:, 1]]))], ["vec_id", "n_links", "other"]
-    )
+def _summed(links: list[np.ndarray]) -> pa.RecordBatch:
+    """Links (cid, rep, copies of either side) as counts by class and a spanning forest of the representatives."""
+    rows = np.concatenate(links)
+    u, inv = np.unique(np.concatenate([rows[:, 0], rows[:, 3]]), return_inverse=True)
+    n = np.bincount(inv, weights=np.concatenate([rows[:, 5], rows[:, 2]])).astype(np.int64)
+    tree = _forest(rows[:, 1], rows[:, 4])
+    none = lambda k: pa.nulls(k, pa.int64())
+    columns = [(pa.array(u), none(len(tree))), (pa.array(n), none(len(tree))), (none(len(u)), pa.array(tree[:, 0])), (none(len(u)), pa.array(tree[:, 1]))]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["cid", "n_links", "src", "dst"])
 
 
 def _compare(cosine: float):
-    """Block pairs of a partition sorted by (group, bucket, i, j), one after the other."""
+    """Block pairs of a partition sorted by (label, dim, bucket, i, j), one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         key: tuple | None = None
-        a: list[np.ndarray] = []
-        b: list[np.ndarray] = []
+        found: list[np.ndarray] = []
         size = 0
 
         def done() -> None:
             nonlocal size
             if len(held) > 1:
-                x, y = _links(held, key[1], key[2], key[3], cosine)
-                if len(x):
-                    a.append(x)
-                    b.append(y)
-                    size += len(x)
+                links = _links(held, key[2], key[3], key[4], cosine)
+                if len(links):
+                    names = np.array([r[:3] for r in held], np.int64)
+                    found.append(np.concatenate([names[links[:, 0]], names[links[:, 1]]], 1))
+                    size += len(links)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:4] != key:
+                if row[:5] != key:
                     done()
-                    held, key = [], row[:4]
+                    held, key = [], row[:5]
                     if size >= _HELD:
-                        yield _summed(a, b)
-                        a.clear()
-                        b.clear()
+                        yield _summed(found)
+                        found.clear()
                         size = 0
-                held.append(row[4:])
+                held.append(row[5:])
         done()
-        if a:
-            yield _summed(a, b)
+        if found:
+            yield _summed(found)
 
     return run
 
@@ -208,29 +208,54 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row.
 
-    Vectors link when their labels are equal and not null and their cosine, in double precision,
-    is ``cosine`` or more; a pair is found if it meets in any probed bucket (recall is measured
-    in the tests).  Null, zero and partly null or non-finite vectors link with nothing and form
-    their own component; so does a null label.  Ids are expected to be unique and integral: rows
-    of one id would count as one vertex.  An empty table gives no rows; other columns are ignored.
+    Vectors link when their labels are equal and not null, their widths are equal and their
+    cosine, in double precision, is ``cosine`` or more; a pair is found if it meets in any probed
+    bucket (recall is measured in the tests).  Equal vectors of a label are one class from the
+    start, so copies cost no comparison.  Null, empty, zero and partly null or non-finite vectors
+    link with nothing and form their own component; so does a null label; a row without an id
+    has no links and a null component.  Repeated rows of an id are one vector, counted once, and
+    each gets its row; of an id with several different vectors each counts its own links, while
+    the component is the id's.  An empty table gives no rows; other columns are ignored.
     """
-    src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
-    hashed = cut(hash_vectors(src.where("vec_id IS NOT NULL AND label IS NOT NULL")))
-    ids = hashed.mapInArrow(lean(_spread), f"vec_id long, label {src.schema['label'].dataType.simpleString()}, bucket long")
-    sizes = ids.groupBy("label", "bucket").agg(F.count("*").alias("size")).where("size > 1")
+    src = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").alias("label"), F.col(f"`{vector_col}`").alias("embedding"))
+    hashed = cut(hash_vectors(src))  # every row
+    able = hashed.where("key IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL")
+    named = able.select("label", "key", "vec_id").distinct()
+    heads = named.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    classes = able.groupBy("label", "key").agg(*[F.first(c).alias(c) for c in ("dim", "x", "b")]).join(heads, ["label", "key"])
+    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))  # written, so the numbers stay
+
+    bucket = ["label", "dim", "bucket"]
+    spread = classes.select("cid", "label", "dim", "b").mapInArrow(lean(_spread), f"cid long, label {src.schema['label'].dataType.simpleString()}, dim int, bucket long")
+    sizes = spread.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1")
     sizes = sizes.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    member = cut(ids.join(sizes, ["label", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")))
-    # Vector i of a bucket goes to every block pair that its block is part of.
+    member = cut(spread.join(sizes, bucket).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")))
+    # Class i of a bucket goes to every block pair that its block is part of.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = member.select("vec_id", "label", "bucket", "block", other.alias("o")).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
-    full = pairs.join(hashed.select("vec_id", "x", "b"), "vec_id").select("label", "bucket", "i", "j", "vec_id", "block", "x", "b")
-    keys = ["label", "bucket", "i", "j"]
+    pairs = member.select("cid", *bucket, "block", other.alias("o")).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
+    keys = [*bucket, "i", "j"]
+    full = pairs.join(classes.select("cid", "rep", "copies", "x", "b"), "cid").select(*keys, "cid", "rep", "copies", "block", "x", "b")
     parts = max(8, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = full.repartition(parts, *keys).sortWithinPartitions(*keys)
-    found = cut(dealt.mapInArrow(lean(_compare(cosine)), "vec_id long, n_links long, other long"))
-    counts = found.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
-    comps = connected_components(found.where("vec_id <> other").select(F.col("vec_id").alias("src"), F.col("other").alias("dst")))
-    out = src.select("vec_id").join(counts, "vec_id", "left").join(comps.select(F.col("id").alias("vec_id"), "component"), "vec_id", "left")
+    found = cut(dealt.mapInArrow(lean(_compare(cosine)), "cid long, n_links long, src long, dst long"))
+
+    counts = found.where("cid IS NOT NULL").groupBy("cid").agg(F.sum("n_links").alias("n_links"))
+    # Different vectors of one id hang together by the id.
+    several = named.groupBy("vec_id").agg(F.count("*").alias("k")).where("k > 1").select("vec_id")
+    by_id = named.join(several, "vec_id").join(heads, ["label", "key"]).select(F.col("rep").alias("src"), F.col("vec_id").alias("dst"))
+    comps = connected_components(found.where("src IS NOT NULL").select("src", "dst").unionByName(by_id))
+    of_class = (
+        classes.select("label", "key", "cid", "rep", "copies")
+        .join(counts, "cid", "left")
+        .join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left")
+        .select("label", "key", "copies", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    )
+    of_class = cut(of_class)
+    rows = hashed.select("vec_id", "label", F.when(F.col("vec_id").isNotNull(), F.col("key")).alias("key"))
+    # Classes of more than a thousandth of all rows: a thousand at most, so they may be broadcast; the others' rows shuffle evenly.
+    large = of_class.where(F.col("copies") * 1000 > hashed.count()).drop("copies")
+    rest = rows.join(F.broadcast(large.select("label", "key")), ["label", "key"], "left_anti")
+    out = rows.join(F.broadcast(large), ["label", "key"]).unionByName(rest.join(of_class.drop("copies"), ["label", "key"], "left"))
     return out.select(
         F.col("vec_id").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -240,12 +265,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each vector and distinct bucket."""
+    """A row for each class and distinct bucket."""
     for batch in batches:
         b = [np.unique(np.frombuffer(v, np.int64)) for v in batch.column(3).to_pylist()]
         at = pa.array(np.repeat(np.arange(len(b)), [len(x) for x in b]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(b) if b else np.zeros(0, np.int64))], ["vec_id", "label", "bucket"]
+            [*(batch.column(k).take(at) for k in range(3)), pa.array(np.concatenate(b) if b else np.zeros(0, np.int64))], ["cid", "label", "dim", "bucket"]
         )
 
 
