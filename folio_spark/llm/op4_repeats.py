@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio_spark.llm.base import cut, free_shuffles, id_filter, lean, may_hold, table
+from folio_spark.llm.base import cut, free_shuffles, id_filter, lean, may_hold, table, unused
 from folio_spark.llm.bytesops import _ODD, Words, chunks, mix
 
 MIN_WORDS = 50
 #: Suffixes that a task cuts into passages at a time.
 SLAB = 40_000
+#: Bytes of a word's hash that surroundings are compared by; a false match takes 25 equal words at its seed and 48 equal bits beside it.
+WIDTH = 6
 #: Bits of the seed filter at most (16 MB).
 SEED_BITS = 1 << 27
 
@@ -84,7 +86,7 @@ def _anchor_rows(min_words: int):
 
 
 def _context_rows(min_words: int, packed):
-    """Suffixes whose seed may repeat, with the words before them (nearest first) and after their seed, four bytes a word."""
+    """Suffixes whose seed may repeat, with the words before them (nearest first) and after their seed, six bytes a word."""
     k = min_words // 2
     reach = min_words - k
 
@@ -100,7 +102,7 @@ def _context_rows(min_words: int, packed):
                 fewest, most = _splits(at, seeds, low, reach + 1)
                 row = np.searchsorted(w.first, at, "right") - 1
                 lo, hi = w.first[row], w.first[row + 1]
-                short = (w.hash >> np.uint64(32)).astype(">u4")
+                short = w.hash.view(np.uint8).reshape(-1, 8)[:, :WIDTH]
                 n_left = np.minimum(at - lo, reach)
                 n_right = np.minimum(hi - at - k, reach)
                 take = pa.array(first_row + row)
@@ -125,13 +127,15 @@ def _runs(values: np.ndarray, start: np.ndarray, length: np.ndarray, step: int)
     ends = np.cumsum(length)
     total = int(ends[-1]) if len(ends) else 0
     at = np.repeat(start, length) + step * (np.arange(total) - np.repeat(ends - length, length))
-    off = np.concatenate([[0], ends * 4]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(values[at].tobytes())])
+    off = np.concatenate([[0], ends * values.shape[1]]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(np.ascontiguousarray(values[at]).tobytes())])
 
 
 def _prefixes(column: list[bytes], width: int) -> np.ndarray:
     """Hashes of the first 0 to ``width`` words of the rows."""
-    m = np.frombuffer(b"".join(x.ljust(width * 4, b"\0") for x in column), ">u4").reshape(len(column), width).astype(np.uint64)
+    m = np.zeros((len(column), width, 8), np.uint8)
+    m[:, :, :WIDTH] = np.frombuffer(b"".join(x.ljust(width * WIDTH, b"\0") for x in column), np.uint8).reshape(len(column), width, WIDTH)
+    m = m.view(np.uint64)[:, :, 0]
     out = np.zeros((len(column), width + 1), np.uint64)
     for i in range(width):
         out[:, i + 1] = (out[:, i] + m[:, i] + np.uint64(1)) * _ODD
@@ -162,6 +166,20 @@ def _passage_rows(min_words: int):
     return run
 
 
+def _merge_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks of each row, sorted by start, as disjoint spans; one pass over them, however many a document has."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            start, stop, source, at = (np.asarray(batch.column(c)[i].values) for c in range(1, 5))
+            reach = np.maximum.accumulate(stop)
+            first = np.flatnonzero(np.append(True, start[1:] > reach[:-1]))
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(start))))
+            longest = np.lexsort((np.arange(len(start)), start - stop, group))[first]  # of equally long ones the first
+            columns = [pa.array(x) for x in (start[first], np.maximum.reduceat(stop, first), source[longest], at[longest])]
+            spans = pa.StructArray.from_arrays(columns, ["start", "stop", "source_id", "source_start"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), batch.column(0)[i].as_py())), spans], ["id", "s"])
+
+
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, start_word, end_word, n_words, source_id, source_word``: merged spans of words that an earlier document holds too.
 
@@ -181,7 +199,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = F
     # Suffixes of equal words all around are one class: its first stands for it, the others are copies of the first.
     # Classes are aggregated before they are shuffled, so a passage in a third of all documents costs a row a task.
     k = min_words // 2
-    before, after = F.length("before") / 4, F.length("after") / 4
+    before, after = F.length("before") / WIDTH, F.length("after") / WIDTH
     suffixes = suffixes.where(before + after + k >= min_words).withColumn("words", F.xxhash64("seed", "before", "after"))
     first = F.min(F.struct("id", "pos")).alias("f")
     classes = cut(suffixes.groupBy("words").agg(first, *(F.first(c).alias(c) for c in ("seed", "before", "after", "fewest", "most"))))
@@ -210,17 +228,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = F
     marks = found.drop("words").unionByName(shifted).unionByName(copies)
     # Overlapping marks of a document become one span; the source is that of its longest mark.
     merged = marks.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "source_id", "source_start"))).alias("m"))
-    folded = F.expr(
-        """aggregate(m, CAST(array() AS ARRAY<STRUCT<start: BIGINT, stop: BIGINT, source_id: BIGINT, source_start: BIGINT, best: BIGINT>>),
-        (acc, x) -> if(size(acc) > 0 AND x.start <= acc[size(acc) - 1].stop,
-          concat(slice(acc, 1, size(acc) - 1), array(named_struct(
-            'start', acc[size(acc) - 1].start, 'stop', greatest(acc[size(acc) - 1].stop, x.stop),
-            'source_id', if(x.stop - x.start > acc[size(acc) - 1].best, x.source_id, acc[size(acc) - 1].source_id),
-            'source_start', if(x.stop - x.start > acc[size(acc) - 1].best, x.source_start, acc[size(acc) - 1].source_start),
-            'best', greatest(acc[size(acc) - 1].best, x.stop - x.start)))),
-          concat(acc, array(named_struct('start', x.start, 'stop', x.stop, 'source_id', x.source_id, 'source_start', x.source_start, 'best', x.stop - x.start)))))"""
-    )
-    spans = merged.select("id", F.explode_outer(folded).alias("s"))
+    merged = merged.select("id", *[F.col(f"m.{c}").alias(c) for c in ("start", "stop", "source_id", "source_start")])
+    spans = merged.mapInArrow(lean(_merge_marks), "id long, s struct<start:long,stop:long,source_id:long,source_start:long>")
     return spans.select(
         F.col("id").alias(id_col),
         F.col("s.start").alias("start_word"),
@@ -245,10 +254,15 @@ def cut_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without repeated passages, ``n_chars`` made anew; rows left without any word go, rows not touched stay as they are."""
-    spans = repeated_spans(docs, min_words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans"))
-    joined = docs.join(spans, "doc_id", "left").select(*docs.columns, "_spans")
+    """``docs`` without repeated passages, ``n_chars`` made anew; rows left without any word go, rows not touched stay as they are.
+
+    Rows of a null id or text stay; repeated rows of an id lose the same passages; an empty table
+    stays empty; further columns are carried along, whatever their names.
+    """
+    key, held = unused("span_id", docs.columns), unused("spans", docs.columns)
+    spans = repeated_spans(docs, min_words).groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias(held))
     names = docs.columns
+    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col(key), "left").select(*[F.col(f"`{c}`") for c in names], held)
     t, c = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
