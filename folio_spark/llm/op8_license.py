@@ -1,88 +1,91 @@
 """License scans by a positional rare-token index, in Spark expressions only.
 
-Every licence template keeps its highest-IDF words with their positions.  A file is looked up
-by those words: each occurrence proposes a placement of the template (file position less
-template position), placements are intersected by checking the other rare words at their
-relative positions, and a placement counts once the template's mandatory phrases stand where
-the template has them.  Its score is the IDF-weighted share of template words found in place.
+The index keeps, of every licence text, the words rarest in the corpus (highest inverse document
+frequency) with all their positions: word -> postings (text, position).  A file is looked up by
+the index words it holds, rarest first; each occurrence and posting propose a placement of a text
+(file position less text position).  Placements are intersected: one counts once two postings
+agree on it and the text's mandatory phrases stand where the text has them.  Its score is the
+IDF-weighted share of the text's words found in place.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio_spark.llm.base import table
+from folio_spark.llm.license_texts import TEXTS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases every scan counts, and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+#: Index words of a licence text.
+RARE_WORDS = 4
+#: Postings that must agree on a placement.
+VOTES = 2
 
-#: Licence templates: label, mandatory phrases, text (lower case, words parted by spaces).
-TEMPLATES = [
-    ("apache-2.0", ["apache license version 2 0"], "licensed under the apache license version 2 0"),
-    ("mit", ["mit license"], "released under the mit license"),
-    (
-        "mit-text",
-        ["permission is hereby granted free of charge"],
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-    ),
-    ("gpl-3.0", ["gnu general public license version 3"], "licensed under the gnu general public license version 3"),
-    ("gpl-2.0", ["gnu general public license version 2"], "licensed under the gnu general public license version 2"),
-    ("lgpl", ["gnu lesser general public license"], "under the terms of the gnu lesser general public license"),
-    ("cc-by-nc-4.0", ["cc by nc 4 0"], "licensed under cc by nc 4 0"),
-    ("cc-by-sa-4.0", ["cc by sa 4 0"], "licensed under cc by sa 4 0"),
-    ("cc-by-4.0", ["cc by 4 0"], "licensed under cc by 4 0"),
-    (
-        "bsd",
-        ["redistribution and use in source and binary forms"],
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    ),
-    ("mpl-2.0", ["mozilla public license"], "subject to the terms of the mozilla public license v 2 0"),
-    ("unlicense", ["released into the public domain"], "this is free and unencumbered software released into the public domain"),
-]
+
+def split_words(text: str) -> list[str]:
+    return [w for w in re.split(BREAK, text.translate(str.maketrans(UPPER, LOWER))) if w]
+
+
+def words_of(low: Column) -> Column:
+    return F.array_remove(F.split(low, BREAK, -1), "")
+
+
+def lowered(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+
+
+def corpus_idf(docs: DataFrame, texts=TEXTS, text_col: str = "text") -> dict[str, float]:
+    """IDF of every word of the licence texts over all of ``docs``: ln((rows + 1) / (rows with the word + 1)) + 1.
+
+    One pass; the driver receives a count for each of the texts' own words.
+    """
+    vocabulary = sorted({w for _, _, t in texts for w in split_words(t)})
+    held = docs.select(F.array_intersect(F.lit(vocabulary), words_of(lowered(F.col(f"`{text_col}`")))).alias("w"))
+    held = held.select(F.explode(F.concat("w", F.array(F.lit("")))).alias("w"))  # the empty word counts the rows
+    count = {r.w: r.n for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}
+    rows = count.get("", 0)
+    return {w: math.log((rows + 1) / (count.get(w, 0) + 1)) + 1 for w in vocabulary}
 
 
 @dataclass(frozen=True)
-class Template:
-    label: str
-    words: tuple[str, ...]
-    weights: tuple[float, ...]
-    rare: tuple[tuple[str, int], ...]
-    required: tuple[tuple[str, int], ...]
-
-
-def build_index(templates=TEMPLATES, rare_words: int = 3) -> list[Template]:
-    """Templates with word weights (IDF over the templates), rare words and mandatory word positions."""
-    split = [(label, phrases, text.split()) for label, phrases, text in templates]
-    df: dict[str, int] = {}
-    for _, _, words in split:
-        for w in set(words):
-            df[w] = df.get(w, 0) + 1
-    idf = {w: math.log(1 + len(split) / n) for w, n in df.items()}
-    out = []
-    for label, phrases, words in split:
-        required = {}
+class Index:
+    labels: tuple[str, ...]  # by text
+    words: tuple[tuple[str, ...], ...]  # by text
+    weights: tuple[tuple[float, ...], ...]
+    required: tuple[tuple[tuple[int, str], ...], ...]  # positions and words of the mandatory phrases
+    votes: tuple[int, ...]
+    postings: dict[str, tuple[tuple[int, int], ...]]  # rarest word first
+
+
+def build_index(idf: dict[str, float], texts=TEXTS, rare_words: int = RARE_WORDS) -> Index:
+    split = [split_words(t) for _, _, t in texts]
+    required, postings, votes = [], {}, []
+    for t, ((_, phrases, _), words) in enumerate(zip(texts, split, strict=True)):
+        places: dict[int, str] = {}
         for phrase in phrases:
             p = phrase.split()
             at = next(i for i in range(len(words)) if words[i : i + len(p)] == p)
-            required |= {at + k: w for k, w in enumerate(p)}
-        rare = sorted({w for w in words}, key=lambda w: (-idf[w], w))[:rare_words]
-        out.append(
-            Template(
-                label,
-                tuple(words),
-                tuple(idf[w] for w in words),
-                tuple((w, words.index(w)) for w in rare),
-                tuple((w, i) for i, w in sorted(required.items())),
-            )
-        )
-    return out
+            places |= {at + k: w for k, w in enumerate(p)}
+        required.append(tuple(sorted(places.items())))
+        rare = sorted(set(words), key=lambda w: (-idf[w], w))[:rare_words]
+        mine = [(w, (t, q)) for q, w in enumerate(words) if w in rare]
+        votes.append(min(VOTES, len(mine)))
+        for w, posting in mine:
+            postings.setdefault(w, []).append(posting)
+    order = sorted(postings, key=lambda w: (-idf[w], w))
+    return Index(
+        tuple(label for label, _, _ in texts), tuple(map(tuple, split)), tuple(tuple(idf[w] for w in words) for words in split), tuple(required), tuple(votes),
+        {w: tuple(postings[w]) for w in order},
+    )
 
 
 def word_at(words: Column, i: Column | int, word: str) -> Column:
@@ -103,43 +106,90 @@ def phrase_starts(words: Column, phrase: str) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)
 
 
-def placements(words: Column, t: Template) -> Column:
-    """Verified placements of a template: ``array<double>`` of their scores (rare words met two at least, or all of fewer)."""
-    need = min(2, len(t.rare))
-    total = sum(t.weights)
-    place = F.sequence(F.lit(0), F.size(words) - 1)
-    # Each occurrence of a rare word gives a start; the start is a word's position less its place in the template.
-    def starts_by(w: str, q: int) -> Column:
-        return F.transform(F.filter(place, lambda i: word_at(words, i, w)), lambda i: i - q)
-
-    starts = F.array_distinct(F.flatten(F.array(*[starts_by(w, q) for w, q in t.rare])))
-
-    def met(o: Column) -> Column:
-        votes = sum((word_at(words, o + q, w).cast("int") for w, q in t.rare), F.lit(0))
-        ok = votes >= need
-        for w, q in t.required:
-            ok = ok & word_at(words, o + q, w)
-        return ok
-
-    def score(o: Column) -> Column:
-        return sum((F.when(word_at(words, o + q, w), F.lit(x)).otherwise(F.lit(0.0)) for q, (w, x) in enumerate(zip(t.words, t.weights, strict=True))), F.lit(0.0)) / total
+class _Constants:
+    """The index as flat arrays, each a constant that the optimizer folds into one literal."""
+
+    def __init__(self, index: Index):
+        def flat(rows):
+            out, ends = [], [0]
+            for r in rows:
+                out += r
+                ends.append(len(out))
+            return out, ends
+
+        posts, self.posts_of = flat(index.postings.values())
+        words, self.words_of = flat(index.words)
+        must, self.must_of = flat(index.required)
+        self.rare = self._of(index.postings, "string")
+        self.post_text, self.post_at = (self._of([p[k] for p in posts], "int") for k in (0, 1))
+        self.word, self.weight = self._of(words, "string"), self._of(flat(index.weights)[0], "double")
+        self.must_at, self.must_word = (self._of([m[k] for m in must], kind) for k, kind in ((0, "int"), (1, "string")))
+        self.label, self.votes = self._of(index.labels, "string"), self._of(index.votes, "int")
+        self.total = self._of([sum(x) for x in index.weights], "double")
+        self.posts_of, self.words_of, self.must_of = (self._of(x, "int") for x in (self.posts_of, self.words_of, self.must_of))
+        self.n_rare = len(index.postings)
+
+    @staticmethod
+    def _of(values, kind: str) -> Column:
+        return F.split(F.lit(" ".join(map(str, values))), " ").cast(f"array<{kind}>")
+
+
+def _span(ends: Column, i: Column) -> Column:
+    return F.sequence(F.get(ends, i), F.get(ends, i + 1) - 1)
+
+
+def verified_placements(split: DataFrame, index: Index, words: str, out: str) -> DataFrame:
+    """``split`` with ``out``, the verified placements of the texts in the array column ``words``: ``array<struct<label,score>>``."""
+    c = _Constants(index)
+    w = F.col(words)
+    keep = [F.col(f"`{k}`") for k in split.columns]
+    # Index words of the file, rarest first: the order of the first array.  Each step is a column, as a lambda would compute an expression anew for each element.
+    held = split.select(*keep, F.array_intersect(c.rare, w).alias("_held"))
+    place = F.sequence(F.lit(0), F.size(w) - 1)
+
+    def proposed(k: Column) -> Column:
+        at = F.filter(place, lambda i: F.get(w, i) == F.get(c.rare, k))
+        return F.flatten(F.transform(at, lambda i: F.transform(_span(c.posts_of, k), lambda j: F.struct(F.get(c.post_text, j).alias("t"), (i - F.get(c.post_at, j)).alias("o"), j.alias("j")))))
+
+    numbers = F.transform("_held", lambda x: (F.array_position(c.rare, x) - 1).cast("int"))
+    none = F.array().cast("array<struct<t:int,o:int,j:int>>")
+    starts = held.select(*keep, F.when(F.size("_held") > 0, F.array_sort(F.flatten(F.transform(numbers, proposed)))).otherwise(none).alias("_starts"))
+
+    def same(x: Column, i: Column) -> Column:
+        other = F.get("_starts", i)
+        return F.coalesce((other["t"] == x["t"]) & (other["o"] == x["o"]), F.lit(False))
+
+    # One row for each placement that enough postings agree on: the last of them in order.
+    agreed = F.filter("_starts", lambda x, i: ~same(x, i + 1) & (same(x, i - 1) | (F.get(c.votes, x["t"]) < VOTES)))
+
+    def stands(x: Column) -> Column:
+        return F.forall(_span(c.must_of, x["t"]), lambda j: F.coalesce(F.get(w, x["o"] + F.get(c.must_at, j)) == F.get(c.must_word, j), F.lit(False)))
+
+    def scored(x: Column) -> Column:
+        first = F.get(c.words_of, x["t"])
+        met = F.aggregate(
+            _span(c.words_of, x["t"]), F.lit(0.0), lambda acc, j: acc + F.when(F.coalesce(F.get(w, x["o"] + j - first) == F.get(c.word, j), F.lit(False)), F.get(c.weight, j)).otherwise(F.lit(0.0))
+        )
+        return F.struct(F.get(c.label, x["t"]).alias("label"), (met / F.get(c.total, x["t"])).alias("score"))
 
-    return F.transform(F.filter(starts, met), score)
+    return starts.select(*keep, F.transform(F.filter(agreed, stands), scored).alias(out))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[Template] | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index | None = None) -> DataFrame:
     """Licence findings of every row.
 
     Returns ``id, n_words, base array<struct<label,starts>>, found array<struct<label,score>>``:
-    all places of the base phrases, and the best placement's score for each template that is
-    verified.  Nulls and empty texts have no words and no findings; repeated rows each get a row;
-    an empty table gives none; other columns are ignored, whatever their names.
+    all places of the base phrases, and the best placement's score for each licence that is
+    verified.  Without an ``index`` one is built by the IDF of ``docs`` themselves.  Nulls and
+    empty texts have no words and no findings; texts of any length are read whole; repeated rows
+    and rows of a null id each get a row; an empty table gives none; other columns are ignored,
+    whatever their names.
     """
-    templates = build_index() if templates is None else templates
-    low = docs.select(F.col(id_col).alias("_id"), F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER).alias("_low"))
-    split = low.select("_id", "_low", F.array_remove(F.split("_low", BREAK, -1), "").alias("_w"))
+    index = build_index(corpus_idf(docs, text_col=text_col)) if index is None else index
+    low = docs.select(F.col(f"`{id_col}`").alias("_id"), lowered(F.col(f"`{text_col}`")).alias("_low"))
+    split = low.select("_id", "_low", words_of(F.col("_low")).alias("_w"))
     words, text = F.col("_w"), F.col("_low")
-    none_i, none_d = F.array().cast("array<int>"), F.array().cast("array<double>")
+    none_i = F.array().cast("array<int>")
     base = F.array(
         *[
             F.struct(
@@ -150,21 +200,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for phrase, label in BASE_PHRASES.items()
         ]
     )
-    found = F.array(
-        *[
-            F.struct(
-                F.lit(t.label).alias("label"),
-                F.array_max(F.when(all_in(text, [w for w, _ in t.required]), placements(words, t)).otherwise(none_d)).alias("score"),
-            )
-            for t in templates
-        ]
-    )
-    return split.select(
-        F.col("_id").alias(id_col),
-        F.size(words).cast("long").alias("n_words"),
-        F.filter(base, lambda b: F.size(b["starts"]) > 0).alias("base"),
-        F.filter(found, lambda f: f["score"].isNotNull()).alias("found"),
+    labels = F.lit(sorted(set(index.labels)))
+    split = verified_placements(split, index, "_w", "_all")
+    found = split.select("_id", F.size(words).cast("long").alias("_n"), F.filter(base, lambda b: F.size(b["starts"]) > 0).alias("_base"), "_all")
+    best = F.transform(
+        F.filter(labels, lambda x: F.exists("_all", lambda f: f["label"] == x)),
+        lambda x: F.struct(x.alias("label"), F.array_max(F.transform(F.filter("_all", lambda f: f["label"] == x), lambda f: f["score"])).alias("score")),
     )
+    return found.select(F.col("_id").alias(id_col), F.col("_n").alias("n_words"), F.col("_base").alias("base"), F.when(F.size("_all") > 0, best).otherwise(F.col("_all")).alias("found"))
 
 
 def all_in(text: Column, words: list[str]) -> Column:
