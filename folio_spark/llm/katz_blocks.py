@@ -64,13 +64,13 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 
 class Block:
-    """Documents of a block: ids, training flags, tokens of each (END included) and all tokens' hashes."""
+    """Documents of a block: ids, whether they have one, training flags, tokens of each (END included) and all tokens' hashes."""
 
-    __slots__ = ("ids", "train", "lens", "h", "key")
+    __slots__ = ("ids", "named", "train", "lens", "h", "key")
 
-    def __init__(self, ids, train, lens, h, place: int):
-        self.ids, self.train, self.lens, self.h = ids, train, lens, h
-        digest = hashlib.blake2b(ids.tobytes() + train.tobytes() + lens.tobytes() + place.to_bytes(8, "little"), digest_size=8).digest()
+    def __init__(self, ids, named, train, lens, h, place: int):
+        self.ids, self.named, self.train, self.lens, self.h = ids, named, train, lens, h
+        digest = hashlib.blake2b(ids.tobytes() + named.tobytes() + train.tobytes() + lens.tobytes() + place.to_bytes(8, "little"), digest_size=8).digest()
         self.key = int.from_bytes(digest, "little", signed=True)
 
 
@@ -89,12 +89,13 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Block]:
         return out
 
     for batch in batches:
-        ids = np.asarray(batch.column(0)).astype(np.int64)
+        ids = np.asarray(batch.column(0).fill_null(0)).astype(np.int64)
+        named = np.asarray(batch.column(0).is_valid())
         train = np.asarray(batch.column(1)).astype(bool)
         for first, last, data, off in chunks(batch.column(2)):
             w = Words(data, off)
             h = np.insert(w.hash, w.first[1:], END)
-            held.append((ids[first:last], train[first:last], np.diff(w.first) + 1, h))
+            held.append((ids[first:last], named[first:last], train[first:last], np.diff(w.first) + 1, h))
             size += len(h)
             if size >= limit:
                 yield close()
@@ -201,7 +202,7 @@ def _block_rows(limit: int):
     def run(batches):
         for b in blocks(batches, limit):
             u, inv = np.unique(b.h, return_inverse=True)
-            yield _table(block=pa.array([b.key]), docs=pa.array([pack(b.ids.view(np.uint64), b.train.astype(np.int64), b.lens)]), words=pa.array([pack(u)]), tokens=pa.array([pack(inv.astype(np.int64))]))
+            yield _table(block=pa.array([b.key]), docs=pa.array([pack(b.ids.view(np.uint64), b.named.astype(np.int64), b.train.astype(np.int64), b.lens)]), words=pa.array([pack(u)]), tokens=pa.array([pack(inv.astype(np.int64))]))
 
     return run
 
@@ -241,7 +242,7 @@ def _score_words(k: int, shared: Shared, part: int, parts: int):
         for batch in batches:
             for r in range(batch.num_rows):
                 key, docs, words, tokens, answers = (batch.column(i)[r].as_py() for i in range(5))
-                ids, train, lens = unpack(docs)
+                ids, named, train, lens = unpack(docs)
                 (u,), (inv,) = unpack(words), unpack(tokens)
                 order, _ = by_bucket(u, k)
                 if not answers:
@@ -256,7 +257,7 @@ def _score_words(k: int, shared: Shared, part: int, parts: int):
                 known = np.add.reduceat((c > 0)[inv].astype(np.int64), heads)
                 if part == 0:
                     none = pa.array([None], pa.binary())
-                    yield _table(bucket=pa.array([abs(key) % k]), block=pa.array([key]), docs=pa.array([pack(ids, train, lens, known, base)]), names=none, pairs=none, places=none)
+                    yield _table(bucket=pa.array([abs(key) % k]), block=pa.array([key]), docs=pa.array([pack(ids, named, train, lens, known, base)]), names=none, pairs=none, places=none)
                 yield _pairs_of(key, k, shared, train, lens, heads, u, inv, c, part, parts)
 
     return run
@@ -348,24 +349,24 @@ def _score_pairs(shared: Shared):
 def _sum_shares(batches):
     for rows in _grouped(batches):
         (docs,) = [unpack(r[1]) for r in rows if r[1] is not None]
-        ids, train, lens, known, base = docs
+        ids, named, train, lens, known, base = docs
         score = np.zeros(len(ids))
         for r in rows:
             if r[2] is not None:
                 which, value = unpack(r[2])
                 score[which] += value
-        yield _table(id=pa.array(ids.view(np.int64)), train=pa.array(train.astype(bool)), n_tokens=pa.array(lens), n_known=pa.array(known), base_score=pa.array(base), score=pa.array(score))
+        yield _table(id=pa.array(ids.view(np.int64), mask=named == 0), train=pa.array(train.astype(bool)), n_tokens=pa.array(lens), n_known=pa.array(known), base_score=pa.array(base), score=pa.array(score))
 
 
 def score_corpus(docs: DataFrame, id_col: str, text_col: str, train: Column, block_tokens: int = BLOCK_TOKENS, passes: int = PASSES) -> tuple[DataFrame, Shared]:
     """``id, train, n_tokens, n_known, base_score, score`` of every row, and the model's shared numbers.
 
     ``docs`` must give the same partitions each time it is scanned, as a stored table does, and
-    have integral ids; null texts are empty, rows of a null id are dropped, repeated rows are
-    scored each; an empty table gives no rows; other columns are ignored.
+    have integral ids; null texts are empty, rows of a null id keep it, repeated rows are scored
+    each; a text of any length is read whole; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("t")).where("id IS NOT NULL")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("t"))
     k = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def dealt(df: DataFrame, key: str) -> DataFrame:
