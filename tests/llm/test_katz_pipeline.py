@@ -1,7 +1,9 @@
 """Language model against a dictionary version; the pipeline's stages on planted cases."""
 
+import base64
 import math
 import re
+import struct
 from collections import Counter
 
 import numpy as np
@@ -83,6 +85,9 @@ def test_blocks_equal_tables(spark, tmp_path, tokens):
         assert (got[i].train, got[i].n_tokens, got[i].n_known) == (w.train, w.n_tokens, w.n_known)
         assert got[i].score == pytest.approx(w.score) and got[i].base_score == pytest.approx(w.base_score)
     assert katz_blocks.score_corpus(df, "doc_id", "text", train, tokens)[0].where("id = 5").count() == 2
+    odd = df.where("doc_id <> 5").withColumn("doc_id", F.when(F.col("doc_id") < 200, F.col("doc_id"))).withColumn("id", F.lit("x")).withColumn("t", F.lit(1))
+    null, same = katz_blocks.score_corpus(odd, "doc_id", "text", F.col("doc_id").isNotNull() & (F.col("doc_id") % 3 != 1), tokens)
+    assert null.where("id IS NULL").count() == 2 and same.tokens == shared.tokens - sum(w.n_tokens for i, w in want.items() if i == 200 or i == 201 and w.train)
 
 
 def test_blocks_of_nothing(spark, docs):
@@ -130,6 +135,62 @@ def test_pipeline_on_planted_cases(spark, tmp_path):
     assert part.columns == docs.columns and len(part.where("doc_id = 1004").first().text.split()) == 20
 
 
+def stage_input(spark, rows):
+    """Documents with columns named like the stages' own, an extra one and null ids."""
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumns({"score": F.lit(1), "text_key": F.lit("k"), "row": F.lit(2), "spans": F.lit(3), "span_id": F.lit(4), "id": F.lit("x"), "_score": F.lit(0)})
+
+
+def test_jaccard_stage_by_brute_force(spark, tmp_path):
+    """One row of each group: repeated rows, null ids, ties and texts without words included."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from tests.llm.test_dedup_ops import brute_jaccard
+
+    rng = np.random.RandomState(31)
+    base = [" ".join(f"v{int(i)}" for i in rng.randint(0, 900, 60)) for _ in range(8)]
+    rows = [(i, base[i % 8] if i % 3 else base[i % 8] + f" tail{i}") for i in range(40)]
+    rows += [rows[5], rows[5], (None, base[0]), (None, base[0]), (None, "alone in the world of words here"), (None, "alone in the world of words here"), (90, ""), (90, ""), (91, None), (None, None), (92, " \n")]
+    docs = stage_input(spark, rows)
+    got = corpus_pipeline.jaccard(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    order = lambda r: (r[0] is None, r[0] or 0)
+    comps = brute_jaccard([(k, t) for k, (_, t) in enumerate(rows)], 5, 80)
+    want = [r for k, r in enumerate(rows) if comps[k][0] == 0]
+    groups = {}
+    for k, r in enumerate(rows):
+        if comps[k][0]:
+            groups.setdefault(comps[k][1], []).append(r)
+    want_ids = [min(g, key=order)[0] for g in groups.values()]
+    assert sorted((r for r in kept if not (r[1] or "").split()), key=str) == sorted(want, key=str)
+    assert sorted((r[0] for r in kept if (r[1] or "").split()), key=str) == sorted(want_ids, key=str)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Every stage keeps all columns, takes null ids and repeated rows, and one long text."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.RandomState(32)
+    prose = lambda n: " ".join(f"v{int(i)}" for i in rng.randint(0, 3000, n))
+    item, passage = prose(30), prose(60)
+    rows = [(None, prose(40) + " scumbag"), (1, passage), (2, prose(5) + " " + passage), (None, item), (3, "ok " + item), (4, prose(60_000)), (5, None), (6, ""), (7, prose(50)), (7, prose(50))]
+    train = [(100 + i, prose(20) + (" scumbag" if i % 4 == 0 else "")) for i in range(300)]
+    docs = stage_input(spark, rows + train)
+    spark.createDataFrame([(i, 1, int("scumbag" in t)) for i, t in train], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    tox = corpus_pipeline.toxicity(spark, docs, str(tmp_path))
+    assert tox.columns == docs.columns and tox.where("doc_id IS NULL").count() == 1 and tox.where("doc_id < 100").count() == 8
+    cut = corpus_pipeline.suffix_dedup(spark, docs, str(tmp_path))
+    assert cut.columns == docs.columns and cut.where("doc_id IS NULL").count() == 2 and len(cut.where("doc_id = 2").first().text.split()) == 5
+    clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and clean.where("doc_id IS NULL").count() == 1 and {r.doc_id for r in clean.where("doc_id < 100").collect()} == {1, 2, 4, 5, 6, 7}
+    public_tokenizers, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = corpus_pipeline.byte_bpe(spark, docs, str(tmp_path)).collect()
+    texts = sorted((t or "") for _, t in rows + train)
+    assert sorted(bytes(r.ids) for r in ids) == sorted(struct.pack(f"<{len(x)}I", *x) for x in map(enc.encode_ordinary, texts))
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
