@@ -9,11 +9,19 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only an unset one (tests) gets a local folder."""
+    """Use the shared folder the cluster names; only a local session (tests) that names none gets a local folder."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folio-ckpt-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder all machines share."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage there."""
     ensure_checkpoint_dir(df.sparkSession)

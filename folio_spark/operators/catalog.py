@@ -26,12 +26,24 @@ def track_changes(stored: DataFrame, seen: DataFrame, key: str, checksum: str) -
 def evict_oldest(df: DataFrame, order: list[str], share: float = 0.2) -> DataFrame:
     """What stays after the oldest ``share`` (one row at least) is evicted.
 
-    The boundary comes from one global sort of the keys alone; ties fall to the last order column.
+    Order columns have no nulls and end in a unique one.  Approximate percentiles of the first
+    column bracket the boundary, rows below the bracket are counted, and only those in it are
+    sorted; the rest is one filter.
     """
-    n = df.count()
-    gone = max(1, int(n * share)) if n else 0
-    doomed = df.select(*order).orderBy(*order).limit(gone)
-    return df.join(doomed, order, "left_anti")
+    first = F.col(order[0])
+    around = [F.percentile_approx(first, F.lit(max(0.0, min(1.0, share + e))), F.lit(10_000)) for e in (-0.002, 0.002)]
+    n, lo, hi = df.agg(F.count("*"), *around).first()
+    if n == 0:
+        return df
+    gone = max(1, int(n * share))
+    below, upto = df.agg(F.count_if(first < F.lit(lo)), F.count_if(first <= F.lit(hi))).first()
+    band = df.where(first.between(F.lit(lo), F.lit(hi))) if below < gone <= upto else df
+    skip = gone - 1 - (below if below < gone <= upto else 0)
+    last = band.select(*order).orderBy(*order).offset(skip).limit(1).first()
+    after = F.lit(False)
+    for c, v in reversed(list(zip(order, last, strict=True))):
+        after = (F.col(c) > F.lit(v)) | ((F.col(c) == F.lit(v)) & after)
+    return df.where(after)
 
 
 def range_join_first(points: DataFrame, spans: DataFrame, at: str, start: str, stop: str, order: list[str], bucket: int, key: str) -> DataFrame:

@@ -73,7 +73,8 @@ def unique_images(images: DataFrame, keys: list[str], order: str = "image_id") -
     out = images
     for k in keys:
         rn = F.row_number().over(Window.partitionBy(k).orderBy(order))
-        out = out.withColumn("_rn", F.when(F.col(k).isNull(), 1).otherwise(rn)).where("_rn = 1").drop("_rn")
+        named = out.where(F.col(k).isNotNull()).withColumn("_rn", rn).where("_rn = 1").drop("_rn")
+        out = named.unionByName(out.where(F.col(k).isNull()))  # apart, or one task would sort all rows without the key
     return out
 
 

@@ -28,9 +28,14 @@ def analyze_queries(queries: DataFrame, taxonomy: DataFrame, query: str = "query
     """``query, region, subregion, domain, categories, confidence`` from ``taxonomy(kind, name, term)``.
 
     The name of most terms found wins, the smaller name on ties.  Confidence: .4 for a region, .1 for
-    more than one of its terms, .2 subregion, .15 domain, .05 a category up to .15.
+    more than one of its terms, .2 subregion, .15 domain, .05 a category up to .15.  Terms are
+    found anywhere in a query; they meet by an equi-join on their first three characters, so no
+    query is tried against the whole taxonomy.
     """
-    hits = queries.select(query).distinct().join(F.broadcast(taxonomy), F.contains(F.lower(query), F.lower("term")))
+    low, heads = F.lower(query), F.substring(F.lower("term"), 1, 3)
+    grams = F.flatten(F.array(*[F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), _gram(low, n))).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
+    asked = queries.select(query).distinct().withColumn("_g", F.explode(F.array_distinct(grams)))
+    hits = asked.join(taxonomy.withColumn("_g", heads), "_g").where(F.contains(low, F.lower("term")))
     n = hits.groupBy(query, "kind", "name").agg(F.count("*").alias("n"))
     best = n.groupBy(query, "kind").agg(F.min(F.struct((-F.col("n")).alias("c"), "name")).alias("b"), F.array_sort(F.collect_list("name")).alias("names"))
     pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
@@ -48,6 +53,10 @@ def analyze_queries(queries: DataFrame, taxonomy: DataFrame, query: str = "query
     return queries.join(wide, query, "left").select(*queries.columns, "region", "subregion", "domain", F.coalesce("categories", F.array().cast("array<string>")).alias("categories"), F.round(F.coalesce(conf, F.lit(0.0)), 6).alias("confidence"))
 
 
+def _gram(text: Column, n: int):
+    return lambda i: F.substring(text, i, F.lit(n))
+
+
 def match_location(text: Column, offset: Column, first_page: Column, footnote: str, header: str) -> Column:
     """Footnote, header, title (first page, among the first 200 characters) or body, from the line that holds ``offset`` (from 0)."""
     before = F.substring(text, F.lit(1), offset)
@@ -121,7 +130,7 @@ def word_target(clusters: Column, base: int = 300, each: int = 150, least: int =
 
 def normalize_category(df: DataFrame, dimension: DataFrame, category: str = "category", default: str = "Other") -> DataFrame:
     """Categories of the dimension ``(category, group)`` keep their group; unknown ones become the default without one."""
-    return df.join(F.broadcast(dimension.withColumnRenamed("group", "_group")), category, "left").select(
+    return df.join(dimension.withColumnRenamed("group", "_group"), category, "left").select(
         *[c for c in df.columns if c not in (category, "group")], F.when(F.col("_group").isNull(), default).otherwise(F.col(category)).alias(category), F.col("_group").alias("group")
     )
 

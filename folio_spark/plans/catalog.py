@@ -175,14 +175,6 @@ def paging_filter(spark: SparkSession, d: str) -> DataFrame:
     return ct.page(rows, [F.desc("o_orderdate"), "o_orderkey"], 20, 40).select("o_orderkey", "o_totalprice", "total")
 
 
-@query("toc_ranges", """SELECT o_custkey, o_orderkey, start_page, coalesce(lead(start_page) OVER (PARTITION BY o_custkey ORDER BY start_page, o_orderkey) - 1, 100000)::BIGINT AS end_page FROM (SELECT o_custkey, o_orderkey, o_orderkey % 1000 + 1 AS start_page FROM orders)""")
-def toc_ranges(spark: SparkSession, d: str) -> DataFrame:
-    """Page ranges from a table of contents: until the next entry's page, less one."""
-    toc = table(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 1000 + 1).alias("start_page"))
-    nxt = F.lead("start_page").over(Window.partitionBy("o_custkey").orderBy("start_page", "o_orderkey"))
-    return toc.withColumn("end_page", F.coalesce(nxt - 1, F.lit(100000)))
-
-
 @query("sequence_pages", "SELECT l_orderkey, (rn - 1) // 3 AS page_no, count(*) AS n_steps, min(l_linenumber)::BIGINT AS first_step FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS rn FROM lineitem) GROUP BY 1, 2")
 def sequence_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pagination of step sequences."""

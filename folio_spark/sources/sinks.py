@@ -53,6 +53,47 @@ def delete_children(spark: SparkSession, parents: str, children: str, condition:
     delete_where(spark, parents, condition)
 
 
+def with_zero_markers(figures: DataFrame, sources: DataFrame, key: str, marker: str = "ZERO_FIGURES") -> DataFrame:
+    """``figures(key, id, format, caption)`` and a marker row for each searched source that gave none, so that it isn't searched again."""
+    none = sources.select(key).distinct().join(figures.select(key).distinct(), key, "left_anti")
+    rows = none.select(key, F.concat_ws("_", F.col(key).cast("string"), F.lit(marker)).alias("id"), F.lit("marker").alias("format"), F.lit(marker).alias("caption"))
+    return figures.select(key, "id", "format", "caption").unionByName(rows)
+
+
+def write_index(vectors: DataFrame, path: str, id_col: str, vector: str, model: str) -> None:
+    """A vector index: vectors as Parquet with their norms, sorted by id, and its metadata as JSON beside them."""
+    norm = F.sqrt(F.aggregate(F.col(vector), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("vector"), norm.alias("norm"))
+    rows.sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/vectors")
+    stored = vectors.sparkSession.read.parquet(f"{path}/vectors")
+    meta = stored.agg(F.count("*").alias("n_vectors"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("width"), F.count_if(F.col("norm") == 0).alias("n_zero")).withColumn("model", F.lit(model))
+    meta.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    return spark.read.parquet(f"{path}/vectors"), spark.read.json(f"{path}/metadata").first().asDict()
+
+
+def write_bundle(parts: dict[str, DataFrame], path: str, name: str) -> None:
+    """Named tables as folders of JSON lines, and a manifest with each one's rows, columns and an order-free checksum."""
+    spark, rows = next(iter(parts.values())).sparkSession, []
+    for part, df in sorted(parts.items()):
+        df.write.mode("overwrite").json(f"{path}/{part}")
+        line = spark.read.text(f"{path}/{part}")
+        n, digest = line.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("value")), F.lit(0).cast("long"))).first()
+        rows.append((name, part, n, digest, ",".join(df.columns)))
+    spark.createDataFrame(rows, "bundle string, part string, n_rows long, checksum long, columns string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def verify_bundle(spark: SparkSession, path: str) -> DataFrame:
+    """``part, n_rows, intact`` of a bundle: rows and checksum as the manifest has them."""
+    rows = []
+    for r in spark.read.json(f"{path}/manifest").orderBy("part").collect():
+        n, digest = spark.read.text(f"{path}/{r.part}").agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("value")), F.lit(0).cast("long"))).first()
+        rows.append((r.part, n, n == r.n_rows and digest == r.checksum))
+    return spark.createDataFrame(rows, "part string, n_rows long, intact boolean")
+
+
 def keep_latest(df: DataFrame, group: str, order: list[Column], n: int = 10) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
 

@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio_spark.functions.graph import shared_folder
+
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums by window and type."""
@@ -91,11 +93,25 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a bounded stream to its end; its result as a table."""
-    name = f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a bounded stream to its end; its result as a table in the shared checkpoint folder, where its state lies, too.
+
+    ``complete`` and ``update`` results are the last batch's, ``append`` ones those of all batches;
+    nothing passes the driver.  A batch written twice takes its own place.
+    """
+    spark = stream.sparkSession
+    root = f"{shared_folder(spark)}/drained-{uuid.uuid4().hex}"
+    written: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={number}")
+        written.append(number)
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}-state").trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return stream.sparkSession.table(name)
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    kept = sorted(set(written)) if mode == "append" else [max(written)]
+    return spark.read.schema(stream.schema).parquet(*[f"{root}/batch={n}" for n in kept])

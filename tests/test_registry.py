@@ -11,7 +11,7 @@ from folio_spark.registry import ORACLES, QUERIES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Too small a table for a match at this size.
-MAY_BE_EMPTY = {"near_dup_pairs", "context_windows", "assoc_jaccard"}
+MAY_BE_EMPTY = {"near_dup_pairs", "context_windows", "assoc_jaccard", "visual_duplicates"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
 
