@@ -173,7 +173,7 @@ def test_convolution_and_gradient_by_brute_force():
     """Pooled filters against plain loops; a training step against numerical gradients."""
     import numpy as np
 
-    c = op3_toxicity.Config(buckets=64, dim=3, widths=(1, 2), filters=2, seen_words=2.0, batch=4)
+    c = op3_toxicity.Config(buckets=64, dim=3, widths=(1, 2), filters=2, whole_texts=1.0, batch=4)
     rng = np.random.RandomState(0)
     m = op3_toxicity.Model(c, rng.standard_normal((64, 3)))
     m.conv = [(rng.standard_normal((w, 3, 2)), np.zeros(2)) for w in c.widths]
