@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folio_spark.sources import epub
+
 FORMATS = {"pdf": "pdf", "epub": "epub", "docx": "docx", "doc": "docx", "txt": "text", "text": "text", "md": "markdown", "html": "html", "htm": "html"}
 
 
@@ -95,16 +97,9 @@ def _docx(raw: bytes) -> str:
 
 
 def _epub(raw: bytes) -> str:
-    z = zipfile.ZipFile(io.BytesIO(raw))
-    parts = []
-    for name in sorted(n for n in z.namelist() if n.lower().endswith((".xhtml", ".html", ".htm"))):
-        html = z.read(name).decode("utf-8", "replace")
-        head = re.search(r"(?is)<h[1-3][^>]*>(.*?)</h[1-3]>", html)
-        body = re.sub(r"(?is)<(script|style|head)[^>]*>.*?</\1>", " ", html)
-        text = " ".join(re.sub(r"(?s)<[^>]*>", " ", body).split())
-        if text:
-            parts.append((f"## {re.sub('<[^>]*>', '', head[1]).strip()}\n\n" if head else "") + text)
-    return "\n\n".join(parts)
+    """Chapters in reading order, each under its first heading."""
+    parts = epub.read(raw)["chapters"]
+    return "\n\n".join((f"## {title}\n\n" if title else "") + text for _, _, title, text in parts)
 
 
 def _pdf(raw: bytes) -> str:
@@ -149,6 +144,55 @@ def path_metadata(path: Column) -> Column:
     )
 
 
+#: Collections by folder with their authority, and words that tell a folder is no subspecialty.
+COLLECTIONS = [("01_COMPLETE_TEXTBOOKS", "Textbooks", 95), ("04_EVIDENCE_BASE_STUDIES", "Evidence", 90), ("02_MULTI_CHAPTER_BOOKS", "Books", 80), ("06_CLINICAL_GUIDELINES", "Guidelines", 100)]
+NO_SUBSPECIALTY = "TEXTBOOKS|GUIDELINES|CHAPTER|EVIDENCE"
+
+
+def folder_metadata(path: Column) -> Column:
+    """``struct<collection, subspecialty, condition, authority>`` from a library's numbered folders.
+
+    The last folder ``NN_Name`` that names no collection is the subspecialty; the file's own folder
+    is the condition unless it is numbered or the subspecialty itself.
+    """
+    parts = F.split(path, "/")
+    collection, authority = None, None
+    for folder, name, score in COLLECTIONS:
+        has = F.array_contains(parts, folder)
+        collection = F.when(has, name) if collection is None else collection.when(has, name)
+        authority = F.when(has, score) if authority is None else authority.when(has, score)
+    named = F.transform(parts, lambda p: F.replace(F.regexp_extract(p, "^[0-9]+_([A-Za-z_-]+)", 1), F.lit("_"), F.lit(" ")))
+    special = F.coalesce(F.try_element_at(F.filter(named, lambda n: (n != "") & ~n.rlike(NO_SUBSPECIALTY)), F.lit(-1)), F.lit("General"))
+    parent = F.get(parts, F.size(parts) - 2)
+    return F.struct(
+        collection.otherwise("Unknown").alias("collection"),
+        special.alias("subspecialty"),
+        F.when(~F.startswith(parent, F.lit("0")) & (parent != special) & (parent != ""), parent).alias("condition"),
+        authority.otherwise(80).alias("authority"),
+    )
+
+
+def series_of(folder: Column, known: dict[str, str]) -> Column:
+    """Display name of the first known series whose key a folder's name holds, else the folder."""
+    out = None
+    for key, name in known.items():
+        has = F.contains(F.lower(folder), F.lit(key.lower()))
+        out = F.when(has, name) if out is None else out.when(has, name)
+    return folder if out is None else out.otherwise(folder)
+
+
+def chapter_order(chapter: Column, title: Column) -> list[Column]:
+    """Sort order of a series: chapter number, those without one last, then title."""
+    return [F.coalesce(chapter, F.lit(9999)).asc(), title.asc()]
+
+
+def pdf_date(text: Column) -> Column:
+    """Date of a PDF date string ``D:YYYYMMDD...``; missing parts count as the first, what is no date is null."""
+    part = lambda n: F.regexp_extract(text, r"^D:([0-9]{4})([0-9]{2})?([0-9]{2})?", n)
+    digits = lambda n: F.coalesce(F.nullif(part(n), F.lit("")), F.lit("01"))
+    return F.when(part(1) != "", F.try_to_date(F.concat_ws("-", part(1), digits(2), digits(3)), "yyyy-MM-dd"))
+
+
 def index_lines(spark: SparkSession, path: str) -> DataFrame:
     """Index file of ``term <tab or dash> references`` lines: ``term, references, primary_sources, see``.
 
