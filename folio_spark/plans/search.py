@@ -104,10 +104,10 @@ def payload_overlap(spark: SparkSession, d: str) -> DataFrame:
     "visual_duplicates",
     f"""WITH s AS (SELECT a.vec_id AS id, b.vec_id AS other, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS rank FROM s)
-    SELECT least(id, other) AS a, greatest(id, other) AS b, round(max(sim), 6) AS sim FROM r WHERE rank <= 4 AND sim >= 0.9 GROUP BY 1, 2""",
+    SELECT least(id, other) AS a, greatest(id, other) AS b, round(max(sim), 6) AS sim FROM r WHERE rank <= 4 AND sim >= 0.4 GROUP BY 1, 2""",
 )
 def visual_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return search.visual_duplicates(table(spark, d, "embeddings"), 0.9).withColumn("sim", F.round("sim", 6))
+    return search.visual_duplicates(table(spark, d, "embeddings"), 0.4).withColumn("sim", F.round("sim", 6))
 
 
 @query("similar_clusters", f"WITH {PROBE_SQL}, r AS (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) SELECT label, round({COS}, 6) AS score FROM r e, q ORDER BY {COS} DESC, label LIMIT 5")

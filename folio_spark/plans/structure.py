@@ -84,14 +84,14 @@ def chunks_merge_small(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "clusters_within_topic",
     """WITH RECURSIVE n AS (SELECT vec_id, coalesce(nullif('t' || label % 3, 't0'), 'general') AS topic, embedding::DOUBLE[] AS v FROM embeddings),
-    p AS (SELECT a.vec_id AS i, b.vec_id AS j FROM n a JOIN n b ON a.vec_id <> b.vec_id AND a.topic = b.topic AND list_cosine_similarity(a.v, b.v) >= 0.9),
+    p AS (SELECT a.vec_id AS i, b.vec_id AS j FROM n a JOIN n b ON a.vec_id <> b.vec_id AND a.topic = b.topic AND list_cosine_similarity(a.v, b.v) >= 0.45),
     r(vec_id, c) AS (SELECT vec_id, vec_id FROM n UNION SELECT p.j, r.c FROM r JOIN p ON p.i = r.vec_id)
     SELECT r.vec_id, n.topic, min(c) AS cluster_id FROM r JOIN n USING (vec_id) GROUP BY 1, 2""",
 )
 def clusters_within_topic(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     members = e.select("vec_id", F.when(F.col("label") % 3 != 0, F.concat(F.lit("t"), (F.col("label") % 3).cast("string"))).alias("topic"))
-    return st.clusters_within(vx.similarity_join(e, 0.9), members, "vec_id", "topic")
+    return st.clusters_within(vx.similarity_join(e, 0.45), members, "vec_id", "topic")
 
 
 @query(
