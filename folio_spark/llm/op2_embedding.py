@@ -276,3 +276,15 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+able AS (SELECT * FROM e WHERE label IS NOT NULL AND len([v FOR v IN x IF v IS NULL OR NOT isfinite(v)]) = 0 AND list_dot_product(x, x) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+reach(id, other) AS (SELECT vec_id, vec_id FROM e UNION SELECT l.a, r.other FROM reach r JOIN links l ON l.b = r.id),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT id AS vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(other) AS component_id, min(other) = id AS kept
+FROM reach LEFT JOIN degree ON a = id GROUP BY id
+"""

@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_embedding_dedup": op2_embedding.SQL,
+    "op6_jaccard_join": op6_jaccard.SQL,
     "op10_chat_format": op10_chat.SQL,
 }
