@@ -48,7 +48,15 @@ def cluster_average_linkage(spark: SparkSession, d: str) -> DataFrame:
     return dedup.average_linkage(table(spark, d, "embeddings"), T)
 
 
-@query("leader_dedup")
+@query(
+    "leader_dedup",
+    f"""WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+    c AS (SELECT a.i, coalesce(list(b.i ORDER BY b.i) FILTER (WHERE b.i IS NOT NULL), []) AS near FROM v a LEFT JOIN v b ON b.i < a.i AND list_cosine_similarity(a.x, b.x) >= {T} GROUP BY a.i),
+    walk(i, heads, head) AS (SELECT 0::BIGINT, []::BIGINT[], 0::BIGINT UNION ALL
+      SELECT f.i, CASE WHEN f.head IS NULL THEN list_append(f.heads, f.i) ELSE f.heads END, coalesce(f.head, f.i)
+      FROM (SELECT c.i, w.heads, list_min([j FOR j IN c.near IF list_contains(w.heads, j)]) AS head FROM walk w JOIN c ON c.i = w.i + 1) f)
+    SELECT a.vec_id, b.vec_id AS leader, a.i = b.i AS is_leader FROM walk JOIN v a ON a.i = walk.i JOIN v b ON b.i = walk.head""",
+)
 def leader_dedup(spark: SparkSession, d: str) -> DataFrame:
     return dedup.leader(table(spark, d, "embeddings"), T)
 

@@ -29,4 +29,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from folio_spark.plans import catalog, retrieval, rows, search, similarity, streams, structure, texts  # noqa: E402, F401
+from folio_spark.plans import assignment, catalog, retrieval, rows, search, similarity, streams, structure, texts  # noqa: E402, F401
