@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio_spark.llm import op1_html, op2_embedding, op3_toxicity, op4_repeats, op5_decontaminate, op6_jaccard, op7_bpe, op8_license, op9_katz, op10_chat, op11_merkle, op12_resample
+from folio_spark.llm import op1_html, op2_embedding, op3_toxicity, op4_repeats, op5_decontaminate, op6_jaccard, op7_bpe, op8_license, op9_katz, op10_chat, op11_merkle, op12_resample, op13_pii
 
 QUERIES = {
     "op1_html_text": op1_html.op1_html_text,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_chat_format": op10_chat.op10_chat_format,
     "op11_merkle_manifest": op11_merkle.op11_merkle_manifest,
     "op12_importance_resample": op12_resample.op12_importance_resample,
+    "op13_private_spans": op13_pii.op13_private_spans,
 }
 
 ORACLES = {
