@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio_spark.operators import ranking
+from folio_spark.operators import inverted, ranking
 from folio_spark.operators import retrieval as rt
 from folio_spark.registry import query, table
 
@@ -27,9 +27,15 @@ scored AS (SELECT doc_id, any_value(source) AS source,
 COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 
 
+def _keyword(spark: SparkSession, d: str, k: int | None) -> DataFrame:
+    """Hits of the stored index of the documents; the first query over a table builds it."""
+    path = inverted.index_of(table(spark, d, "documents"))
+    return inverted.search(spark, path, BM25_QUERY, k).hits.withColumnRenamed("id", "doc_id")
+
+
 @query("bm25_topk", f"WITH {BM25_SQL} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, doc_id LIMIT 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return rt.bm25(table(spark, d, "documents"), BM25_QUERY).withColumn("score", F.round("score", 6))
+    return _keyword(spark, d, 10).withColumn("score", F.round("score", 6))
 
 
 def _probe(spark: SparkSession, d: str) -> list[float]:
@@ -65,7 +71,7 @@ merged AS (SELECT coalesce(dr.id, sr.id) AS id, coalesce(dr.s, 0) AS dense_score
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
     dense = rt.dense(table(spark, d, "embeddings"), _probe(spark, d), 100, 0.1).withColumnRenamed("vec_id", "id")
-    sparse = rt.bm25(table(spark, d, "documents"), "atshsh bleble the the", 50).withColumnRenamed("doc_id", "id")
+    sparse = _keyword(spark, d, 50).withColumnRenamed("doc_id", "id")
     return rt.hybrid_merge(dense, sparse)
 
 
@@ -91,7 +97,7 @@ def hybrid_merge(spark: SparkSession, d: str) -> DataFrame:
 )
 def hybrid_confidence(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    hits = rt.bm25(docs, BM25_QUERY, 50).join(docs.select("doc_id", "source"), "doc_id")
+    hits = _keyword(spark, d, 50).join(docs.select("doc_id", "source"), "doc_id")
     return rt.confidence(hits, tiebreak="doc_id")
 
 
@@ -102,7 +108,7 @@ def hybrid_confidence(spark: SparkSession, d: str) -> DataFrame:
 )
 def diversify_sources(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    hits = rt.bm25(docs, BM25_QUERY, None).join(docs.select("doc_id", "source"), "doc_id")
+    hits = _keyword(spark, d, None).join(docs.select("doc_id", "source"), "doc_id")
     return rt.diversify(hits, "source", "score", "doc_id").select("doc_id", "source", F.round("score", 6).alias("score"))
 
 
