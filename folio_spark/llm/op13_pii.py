@@ -11,6 +11,7 @@ The model is trained on lattices of the corpus, labelled by the patterns, and on
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import heapq
 import random
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio_spark.llm.base import lean, table
+from folio_spark.llm.base import cut, lean, table
 
 #: Kinds in the order in which spans are listed; 0 is "nothing" in the model.
 KINDS = ("email", "ip", "card", "phone")
@@ -482,13 +483,9 @@ def excerpts(texts: DataFrame, sample: int = SAMPLE) -> list[tuple[str, list[Spa
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["stratum", "hash", "text"]).cast(pa.schema([("stratum", pa.int32()), ("hash", pa.string()), ("text", pa.string())]))
 
     found = texts.select(F.col("text").cast("string")).mapInArrow(lean(run), EXCERPTS).distinct()
-    out = []
-    for k in range(LABELS):
-        rows = found.where(F.col("stratum") == k).orderBy("hash").limit(sample)
-        out.append(rows)
-    every = out[0]
-    for rows in out[1:]:
-        every = every.unionByName(rows)
+    found = cut(found)  # one pass over the texts for all strata
+    strata = [found.where(F.col("stratum") == k).orderBy("hash").limit(sample) for k in range(LABELS)]
+    every = functools.reduce(DataFrame.unionByName, strata)
     return [(r["text"], base_spans(r["text"])) for r in sorted(every.collect(), key=lambda r: (r["stratum"], r["hash"]))]
 
 
