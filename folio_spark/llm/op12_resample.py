@@ -1,11 +1,10 @@
 """Resampling documents towards a target corpus, by a dictionary of distinct n-gram strings.
 
-1. Texts are cut into blocks.  A block lists its distinct n-grams with their counts, and each of its documents as
-   counts of those.  Both are stored, packed.
+1. Texts are cut into blocks.  A block lists its distinct n-grams once each, with the documents they stand in and how often.
 2. The n-grams of all blocks meet by a hash of their words.  There each string of the whole corpus stands once: its counts
-   are added up and it is hashed once, to its bucket.
-3. Bucket counts give the gains, one number a bucket.  Every block gets the buckets of its strings back and joins the gains
-   to its documents' counts.
+   are added up and it is hashed once, to its bucket.  Buckets and per-document counts are stored without the strings.
+3. Bucket counts give the gains, one number a bucket.  They are joined to the stored per-document counts, added up where
+   these lie, and the sums meet by block.
 4. Documents are drawn by Gumbel noise on the weights: the largest scores, ranked exactly over ranges of the order.
 
 A string enters step 2 once a block however common it is, and its hash spreads it, so no word makes a hot task.
@@ -28,45 +27,42 @@ from folio_spark.llm.bytesops import Words, chunks, mix
 from folio_spark.llm.ranks import range_ranks
 
 #: Bytes of text of a block (one longer text is a block of its own) and of text whose strings meet in one group.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 PART_BYTES = 16 << 20
 #: Bytes between words: ASCII but for digits and (lower-cased) letters.
 BREAKS = np.zeros(256, bool)
 BREAKS[:128] = True
 BREAKS[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = False
+#: Level 6 packs the sorted strings a tenth smaller than level 1 and still at some 20 MB a second.
+_CODEC = pa.Codec("zstd", compression_level=6)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: ``kind`` 0: the documents of a block; 1: those of its strings that hash to ``part``, numbered from ``base``.
-BLOCK_SCHEMA = "side int, block long, part int, base long, ids array<long>, n_words array<long>, n_features array<long>, strings binary, sizes binary, counts binary"
+#: A row holds either the documents of a block (``ids``, ``n_words``, ``n_features``) or those of its strings that hash to
+#: ``part``: their bytes and lengths, in how many documents of the block each stands, which ones, and how often.
+BLOCK_SCHEMA = "side int, block long, part int, ids array<long>, n_words array<long>, n_features array<long>, strings binary, sizes binary, spread binary, docs binary, times binary"
 GRAMS = pa.schema(
-    [
-        ("side", pa.int32()),
-        ("block", pa.int64()),
-        ("part", pa.int32()),
-        ("base", pa.int64()),
-        ("ids", pa.list_(pa.int64())),
-        ("n_words", pa.list_(pa.int64())),
-        ("n_features", pa.list_(pa.int64())),
-        ("strings", pa.binary()),
-        ("sizes", pa.binary()),
-        ("counts", pa.binary()),
-    ]
+    [("side", pa.int32()), ("block", pa.int64()), ("part", pa.int32())]
+    + [(c, pa.list_(pa.int64())) for c in ("ids", "n_words", "n_features")]
+    + [(c, pa.binary()) for c in ("strings", "sizes", "spread", "docs", "times")]
 )
 
 
-def _pack(a) -> bytes:
-    raw = np.ascontiguousarray(a).tobytes() if isinstance(a, np.ndarray) else bytes(a)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+def _pack(a: np.ndarray) -> bytes:
+    """Compressed bytes, or 32-bit numbers plane by plane: equal high bytes then stand side by side."""
+    if a.dtype != np.uint8:
+        if len(a) and int(a.max()) >= 1 << 32:
+            raise ValueError("a block counts over 4,294,967,295 of one feature")
+        a = a.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    raw = a.tobytes()
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
 
 
-def _unpack(b: bytes, kind=np.uint32) -> np.ndarray:
+def _raw(b: bytes) -> np.ndarray:
     size = int.from_bytes(b[:8], "little")
-    return np.frombuffer(pa.decompress(b[8:], size, "zstd", asbytes=True) if size else b"", kind)
+    return np.frombuffer(_CODEC.decompress(b[8:], size, asbytes=True) if size else b"", np.uint8)
 
 
-def _narrow(a: np.ndarray) -> np.ndarray:
-    if len(a) and int(a.max()) >= 1 << 32:
-        raise ValueError("a block counts over 4,294,967,295 of one feature")
-    return a.astype(np.uint32)
+def _numbers(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_raw(b).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def _strings(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
@@ -93,7 +89,11 @@ def block_features(data: np.ndarray, offsets: np.ndarray, max_n: int) -> tuple[p
     inside[w.start] += 1
     inside[w.end] -= 1
     words = _strings(sizes, w.data[np.cumsum(inside[:-1]).astype(bool)]).dictionary_encode()
-    vocab, code = words.dictionary, np.asarray(words.indices).astype(np.int64)
+    # In the order of the words: n-grams then ascend, too, and neighbours share their beginnings.
+    order = np.asarray(pc.sort_indices(words.dictionary))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    vocab, code = words.dictionary.take(pa.array(order)), rank[np.asarray(words.indices)]
     hashes = np.zeros(len(vocab), np.uint64)
     hashes[code] = w.hash
     strings, marks, owners, hashed = [vocab], [code], [doc], [hashes]
@@ -114,6 +114,10 @@ def block_features(data: np.ndarray, offsets: np.ndarray, max_n: int) -> tuple[p
     return pa.concat_arrays(strings), np.concatenate(hashed), np.concatenate(marks), np.concatenate(owners), n_words
 
 
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
 def _blocks(texts: DataFrame, side: int, parts: int, max_n: int) -> DataFrame:
     """``texts(id, text)`` as packed blocks (``BLOCK_SCHEMA``)."""
 
@@ -121,85 +125,125 @@ def _blocks(texts: DataFrame, side: int, parts: int, max_n: int) -> DataFrame:
         seq = TaskContext.get().partitionId() << 32
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column(1), BLOCK_BYTES):
+                block = seq * 2 + side
+                seq += 1
                 strings, hashes, marks, owners, n_words = block_features(data, offsets, max_n)
+                if side == 0:
+                    ids = batch.column(0).slice(i, j - i).cast(pa.int64()).to_pylist()
+                    yield _rows([(side, block, block % parts, ids, n_words.tolist(), np.bincount(owners, minlength=j - i).tolist(), *[None] * 5)], GRAMS)
                 part = (hashes % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 place = np.empty(len(order), np.int64)
                 place[order] = np.arange(len(order))
-                marks = place[marks]
-                counts = _narrow(np.bincount(marks, minlength=len(order)))
                 off, raw = _bytes_of(pa.concat_arrays([strings.take(pa.array(order))]))
                 edges = np.searchsorted(part[order], np.arange(parts + 1))
-                block = seq * 2 + side
-                seq += 1
-                cells, times = np.unique(owners * np.int64(max(len(order), 1)) + marks, return_counts=True)
+                del strings, hashes, part, order
+                # A cell is a string in a document; cells ascend by string.
+                cells, times = np.unique(place[marks] * np.int64(j - i) + owners, return_counts=True)
+                del place, marks, owners
+                feature, docs = np.divmod(cells, np.int64(j - i))
+                spread = np.bincount(feature, minlength=len(off) - 1)
+                cell_edges = np.searchsorted(feature, edges)
                 rows = []
-                if side == 0:
-                    n_features = np.bincount(owners, minlength=j - i)
-                    ids = batch.column(0).slice(i, j - i).cast(pa.int64())
-                    # Cells ascend by document, then feature: the gaps between them are small numbers.
-                    rows.append((side, block, -1, 0, ids.to_pylist(), n_words.tolist(), n_features.tolist(), None, _pack(np.diff(cells, prepend=0)), _pack(_narrow(times))))
                 for p in np.flatnonzero(np.diff(edges)):
-                    a, b = edges[p], edges[p + 1]
-                    rows.append((side, block, int(p), int(a), None, None, None, _pack(raw[off[a] : off[b]]), _pack(_narrow(np.diff(off[a : b + 1]))), _pack(counts[a:b])))
-                for at in range(0, len(rows), 256):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 256]), GRAMS)], schema=GRAMS)
+                    (a, b), (c, d) = edges[p : p + 2], cell_edges[p : p + 2]
+                    packed = [_pack(x) for x in (raw[off[a] : off[b]], np.diff(off[a : b + 1]), spread[a:b], docs[c:d], times[c:d])]
+                    rows.append((side, block, int(p), None, None, None, *packed))
+                    if len(rows) == 256:
+                        yield _rows(rows, GRAMS)
+                        rows = []
+                if rows:
+                    yield _rows(rows, GRAMS)
 
     return texts.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), BLOCK_SCHEMA)
 
 
-LOOKED_UP = pa.schema([("side", pa.int32()), ("block", pa.int64()), ("base", pa.int64()), ("found", pa.binary()), ("sums", pa.list_(pa.struct([("bucket", pa.int64()), ("s", pa.int64()), ("t", pa.int64())])))])
+#: Rows of three sorts: a block's documents, what they hold of one part's strings as counts of buckets, and a part's bucket counts.
+FOUND_SCHEMA = "block long, ids array<long>, n_words array<long>, n_features array<long>, found binary, spread binary, docs binary, times binary, sums array<struct<bucket:long,s:long,t:long>>"
+FOUND = pa.schema(
+    [("block", pa.int64())]
+    + [(c, pa.list_(pa.int64())) for c in ("ids", "n_words", "n_features")]
+    + [(c, pa.binary()) for c in ("found", "spread", "docs", "times")]
+    + [("sums", pa.list_(pa.struct([("bucket", pa.int64()), ("s", pa.int64()), ("t", pa.int64())])))]
+)
+
+
+def _by_document(bucket: np.ndarray, docs: np.ndarray, times: np.ndarray, buckets: int) -> list[bytes]:
+    """Cells by document and bucket, packed: gaps of buckets within a document, cells a document, gaps of documents, counts."""
+    keys, at = np.unique(docs * np.int64(buckets) + bucket, return_inverse=True)
+    doc, bucket = np.divmod(keys, np.int64(buckets))
+    found, first, cells = np.unique(doc, return_index=True, return_counts=True)
+    gaps = np.diff(bucket, prepend=0)
+    gaps[first] = bucket[first]
+    return [_pack(gaps), _pack(cells), _pack(np.diff(found, prepend=0)), _pack(np.bincount(at, times).astype(np.int64))]
 
 
 def _dictionary(grams: DataFrame, buckets: int) -> DataFrame:
-    """One group a part: every distinct string once, its bucket, the buckets' counts, and each block's strings as buckets."""
+    """One group a part: every distinct string stands once, is hashed once, and gives its bucket to the blocks that hold it."""
 
     def run(group: pa.Table) -> pa.Table:
-        sides, sizes = group["side"].to_pylist(), [_unpack(x) for x in group["sizes"].to_pylist()]
-        data = np.concatenate([_unpack(x, np.uint8) for x in group["strings"].to_pylist()])
-        counts = [_unpack(x) for x in group["counts"].to_pylist()]
-        words = _strings(np.concatenate(sizes), data).dictionary_encode()
-        code = np.asarray(words.indices)
-        side = np.repeat(np.array(sides), [len(x) for x in sizes])
-        times = np.concatenate(counts).astype(np.float64)
-        off, raw = _bytes_of(words.dictionary)
-        view = memoryview(raw)
-        bucket = np.fromiter((zlib.crc32(view[a:b]) % buckets for a, b in zip(off[:-1].tolist(), off[1:].tolist())), np.int64, len(words.dictionary))
-        sums = [np.bincount(bucket, np.bincount(code, np.where(side == k, times, 0), len(bucket)), buckets).astype(np.int64) for k in (0, 1)]
-        used = np.flatnonzero(sums[0] + sums[1])
-        found = bucket[code].astype(np.uint32)
-        rows = [(0, None, 0, None, [{"bucket": int(k), "s": int(sums[0][k]), "t": int(sums[1][k])} for k in used])]
-        at = 0
-        for s, block, base, n in zip(sides, group["block"].to_pylist(), group["base"].to_pylist(), [len(x) for x in sizes]):
-            if s == 0:
-                rows.append((s, block, base, _pack(found[at : at + n]), None))
-            at += n
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), LOOKED_UP)], schema=LOOKED_UP)
-
-    return grams.groupBy("part").applyInArrow(run, "side int, block long, base long, found binary, sums array<struct<bucket:long,s:long,t:long>>")
-
-
-WEIGHED = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_features", pa.int64()), ("weight", pa.int64())])
-
-
-def _weigh(packed: DataFrame, gains: np.ndarray) -> DataFrame:
-    """One group a block: its documents' feature counts joined with the gains of its strings."""
+        given = group.to_pylist()
+        rows = [(r["block"], r["ids"], r["n_words"], r["n_features"], *[None] * 5) for r in given if r["ids"] is not None]
+        given = [r for r in given if r["ids"] is None]
+        if given:
+            sizes, spread = [_numbers(r["sizes"]) for r in given], [_numbers(r["spread"]) for r in given]
+            # How often each string of each block stands there: its cells' counts.
+            counts = np.concatenate([np.add.reduceat(_numbers(r["times"]), np.cumsum(n) - n) for r, n in zip(given, spread)])
+            words = _strings(np.concatenate(sizes), np.concatenate([_raw(r["strings"]) for r in given])).dictionary_encode()
+            code, off, raw = np.asarray(words.indices), *_bytes_of(words.dictionary)
+            view = memoryview(raw)
+            bucket = np.fromiter((zlib.crc32(view[a:b]) % buckets for a, b in zip(off[:-1].tolist(), off[1:].tolist())), np.int64, len(words.dictionary))
+            side = np.repeat([r["side"] for r in given], [len(x) for x in sizes])
+            sums = np.zeros((2, buckets), np.int64)
+            np.add.at(sums, (side, bucket[code]), counts)
+            rows.append((*[None] * 8, [{"bucket": int(k), "s": int(sums[0][k]), "t": int(sums[1][k])} for k in np.flatnonzero(sums.any(0))]))
+            at = 0
+            for r, n, wide in zip(given, sizes, spread):
+                if r["side"] == 0:
+                    rows.append((r["block"], None, None, None, *_by_document(np.repeat(bucket[code[at : at + len(n)]], wide), _numbers(r["docs"]), _numbers(r["times"]), buckets), None))
+                at += len(n)
+        return pa.Table.from_batches([_rows(rows, FOUND)]) if rows else FOUND.empty_table()
+
+    return grams.groupBy("part").applyInArrow(run, FOUND_SCHEMA)
+
+
+def _join_gains(found: DataFrame, gains: np.ndarray) -> DataFrame:
+    """Gains joined to the cells -> ``block, docs, gained``: what the strings of a row give each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs_of, gained = [], []
+            for r in batch.select(["found", "spread", "docs", "times"]).to_pylist():
+                gaps, cells = _numbers(r["found"]), _numbers(r["spread"])
+                first = np.cumsum(cells) - cells
+                ends = np.cumsum(gaps)
+                bucket = ends - np.repeat(ends[first] - gaps[first], cells)
+                docs = np.cumsum(_numbers(r["docs"]))
+                total = np.add.reduceat(gains[bucket] * _numbers(r["times"]), first)
+                docs_of.append(docs)
+                gained.append(total)
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(docs_of, kind), pa.array(gained, kind)], ["block", "docs", "gained"])
+
+    return found.select("block", "found", "spread", "docs", "times").mapInArrow(lean(run), "block long, docs array<long>, gained array<long>")
+
+
+def _weigh(documents: DataFrame, gained: DataFrame) -> DataFrame:
+    """One group a block: its documents with the means of what their features gained."""
+    schema = pa.schema([(c, pa.int64()) for c in ("id", "n_words", "n_features", "weight")])
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        doc = next(r for r in rows if r["base"] is None)
-        parts = sorted((r for r in rows if r["base"] is not None), key=lambda r: r["base"])
-        gain = gains[np.concatenate([_unpack(r["found"]) for r in parts])] if parts else np.zeros(0, np.int64)
-        cells, times = np.cumsum(_unpack(doc["sizes"], np.int64)), _unpack(doc["counts"])
+        doc = next(r for r in rows if r["ids"] is not None)
         n = np.array(doc["n_features"], np.int64)
         total = np.zeros(len(n), np.int64)
-        if len(cells):
-            owner, feature = np.divmod(cells, len(gain))
-            first = np.flatnonzero(np.diff(owner, prepend=-1))
-            total[owner[first]] = np.add.reduceat(gain[feature] * times.astype(np.int64), first)
-        return pa.Table.from_arrays([pa.array(doc["ids"], pa.int64()), pa.array(doc["n_words"], pa.int64()), pa.array(n), pa.array(total // np.maximum(n, 1))], schema=WEIGHED)
+        for r in rows:
+            if r["docs"] is not None:
+                total[r["docs"]] += np.array(r["gained"], np.int64)
+        return pa.Table.from_arrays([pa.array(doc["ids"], pa.int64()), pa.array(doc["n_words"], pa.int64()), pa.array(n), pa.array(total // np.maximum(n, 1))], schema=schema)
 
-    return packed.groupBy("block").applyInArrow(run, "id long, n_words long, n_features long, weight long")
+    rows = documents.select("block", "ids", "n_words", "n_features").unionByName(gained, allowMissingColumns=True)
+    return rows.groupBy("block").applyInArrow(run, "id long, n_words long, n_features long, weight long")
 
 
 def importance_weights(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "text", max_n: int = 2, buckets: int = 10_000) -> DataFrame:
@@ -217,19 +261,16 @@ def importance_weights(docs: DataFrame, target: DataFrame, id_col: str = "doc_id
     aims = target.select(F.lit(None).cast("long").alias("id"), F.col(target_col).alias("text"))
     size = texts.select(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(16, -(-size // PART_BYTES))
-    stored = cut(_blocks(texts, 0, parts, max_n).unionByName(_blocks(aims, 1, parts, max_n)))
-    grams = stored.where("part >= 0").select("side", "block", "part", "base", "strings", "sizes", "counts")
-    looked_up = cut(_dictionary(grams, buckets))
-    sums = looked_up.where("sums IS NOT NULL").select(F.explode("sums").alias("x")).groupBy("x.bucket").agg(F.sum("x.s").cast("double").alias("s"), F.sum("x.t").cast("double").alias("t"))
+    grams = _blocks(texts, 0, parts, max_n).unionByName(_blocks(aims, 1, parts, max_n))
+    stored = cut(_dictionary(grams, buckets))
+    sums = stored.where("sums IS NOT NULL").select(F.explode("sums").alias("x")).groupBy("x.bucket").agg(F.sum("x.s").cast("double").alias("s"), F.sum("x.t").cast("double").alias("t"))
     sums = cut(sums)
     all_s, all_t = (float(x or 0) for x in sums.agg(F.sum("s"), F.sum("t")).first())
     gain = F.floor(1000 * F.log((F.col("t") + 1) * F.lit(all_s + buckets) / ((F.col("s") + 1) * F.lit(all_t + buckets))))
     gains = np.zeros(buckets, np.int64)
     for bucket, g in sums.select("bucket", gain.cast("long")).collect():
         gains[bucket] = g
-    documents = stored.where("part = -1").select("block", F.lit(None).cast("long").alias("base"), F.lit(None).cast("binary").alias("found"), "ids", "n_words", "n_features", "sizes", "counts")
-    found = looked_up.where("found IS NOT NULL").select("block", "base", "found")
-    return _weigh(documents.unionByName(found, allowMissingColumns=True), gains)
+    return _weigh(stored.where("ids IS NOT NULL"), _join_gains(stored.where("found IS NOT NULL"), gains))
 
 
 def gumbel_score(weight: Column, id: Column, seed: int) -> Column:
