@@ -1,17 +1,10 @@
-"""Vectors in array columns: norms, cosines and exact blocked joins."""
+"""Vectors in array columns: norms, cosines, means and late interaction."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors of a block in the exact joins.
-BLOCK = 2048
-
 
 def as_double(v: Column) -> Column:
     return v.cast("array<double>")
@@ -43,65 +36,6 @@ def mean_vector(df: DataFrame, group: list[str], vector: str) -> DataFrame:
     return parts.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
 
 
-def _blocks(df: DataFrame, id_col: str, vector: str, block: int) -> tuple[DataFrame, int]:
-    n = df.count()
-    b = max(1, math.ceil(n / block))
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), as_double(F.col(vector)).alias("v"))
-    return rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(b)).cast("int")), b
-
-
-def _unit(s: pd.Series) -> np.ndarray:
-    x = np.stack(s.to_numpy()) if len(s) else np.zeros((0, 1))
-    n = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-
-
-def similarity_join(df: DataFrame, threshold: float, id_col: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """All pairs ``i < j`` with cosine ``threshold`` or more, exactly: one matrix product for each pair of blocks."""
-    rows, b = _blocks(df, id_col, vector, block)
-    sides = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).withColumn("a", F.least("blk", "o")).withColumn("c", F.greatest("blk", "o"))
-
-    def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf.blk == key[0]], pdf[pdf.blk == key[1]]
-        out = {"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "sim": np.zeros(0)}
-        if len(x) and len(y):
-            s = _unit(x.v) @ _unit(y.v).T
-            p, q = np.nonzero(s >= threshold)
-            i, j = x.id.to_numpy()[p], y.id.to_numpy()[q]
-            keep = i < j if key[0] == key[1] else i != j
-            out = {"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "sim": s[p, q][keep]}
-        return pd.DataFrame(out)
-
-    return sides.groupBy("a", "c").applyInPandas(pairs, "i long, j long, sim double")
-
-
-def knn_join(df: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """The ``k`` nearest other vectors of each: ``id, neighbour, sim, rank``; ties by the smaller id."""
-    from pyspark.sql import Window
-
-    rows, b = _blocks(df, id_col, vector, block)
-    sides = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).withColumn("a", F.least("blk", "o")).withColumn("c", F.greatest("blk", "o"))
-
-    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        s = np.round(_unit(x.v) @ _unit(y.v).T, 12)
-        xi, yi = x.id.to_numpy(), y.id.to_numpy()
-        s[xi[:, None] == yi[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(yi, s.shape), -s), axis=1)[:, : k + 1]
-        out = pd.DataFrame({"id": np.repeat(xi, order.shape[1]), "neighbour": yi[order].ravel(), "sim": np.take_along_axis(s, order, 1).ravel()})
-        return out[np.isfinite(out.sim)]
-
-    def both(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf.blk == key[0]], pdf[pdf.blk == key[1]]
-        parts = [best(x, y)] if len(x) and len(y) else []
-        if key[0] != key[1] and parts:
-            parts.append(best(y, x))
-        return pd.concat(parts) if parts else pd.DataFrame({"id": np.zeros(0, np.int64), "neighbour": np.zeros(0, np.int64), "sim": np.zeros(0)})
-
-    found = sides.groupBy("a", "c").applyInPandas(both, "id long, neighbour long, sim double")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "neighbour"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def maxsim(query_vectors: list[list[float]], tokens: Column) -> Column:
     """Late-interaction score: for each query vector the best dot product among the document's token vectors, summed."""
     total = F.lit(0.0)

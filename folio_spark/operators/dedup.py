@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio_spark.functions import neighbours as nb
 from folio_spark.functions import text as tx
 from folio_spark.functions import vector as vx
 from folio_spark.functions.graph import connected_components, cut
@@ -26,83 +26,116 @@ def exact_groups(df: DataFrame, text_col: str = "text", order: str = "doc_id") -
 
 def transitive(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Connected components of the graph of pairs at ``threshold``: ``id, cluster``."""
-    pairs = cut(vx.similarity_join(vectors, threshold, id_col, vector))
+    pairs = cut(nb.similarity_join(vectors, threshold, id_col, vector))
     comps = connected_components(pairs.select(F.col("i").alias("src"), F.col("j").alias("dst")))
     return vectors.select(id_col).join(comps.withColumnRenamed("id", id_col), id_col, "left").select(id_col, F.coalesce("component", id_col).alias("cluster"))
 
 
-def _blocks_of(vectors: DataFrame, threshold: float, id_col: str, vector: str) -> DataFrame:
-    """Rows with their transitive cluster as block: leader and linkage decisions never cross one."""
-    return vectors.join(transitive(vectors, threshold, id_col, vector), id_col)
+#: Edges that one task may finish by itself once the rounds have left so few; the rounds do not depend on it for the result.
+REST = 50_000
 
 
-def leader(vectors: DataFrame, threshold: float = 0.85, id_col: str = "vec_id", vector: str = "embedding", order: str | None = None) -> DataFrame:
+def leader(vectors: DataFrame, threshold: float = 0.85, id_col: str = "vec_id", vector: str = "embedding", order: str | None = None, rest: int = REST) -> DataFrame:
     """Greedy leader dedup in ``order``: a row joins the first leader it reaches, else leads: ``id, leader, is_leader``.
 
-    Order dependent and not transitive.  A row can only follow a leader of its own transitive
-    cluster, so clusters are processed apart.
+    Order dependent and not transitive.  The leaders are the first maximal independent set of the similarity graph in that
+    order, so they need no walk row by row: in each round the undecided rows without an undecided neighbour before them
+    lead, and the neighbours behind a leader follow.  A row's leader is then its first neighbour that leads.  When at most
+    ``rest`` edges are undecided one task walks them, which ends long chains.  Null and zero vectors lead themselves.
     """
     order = order or id_col
-    rows = _blocks_of(vectors.select(id_col, order, vector) if order != id_col else vectors.select(id_col, vector), threshold, id_col, vector)
+    pairs = cut(nb.similarity_join(vectors, threshold, id_col, vector))
+    place = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(order).alias("o"))
+    key = lambda c: place.select(F.col("id").alias(c), F.struct(F.col("o").alias("o"), F.col("id").alias("id")).alias(f"{c}k"))
+    both = pairs.select("i", "j").join(key("i"), "i").join(key("j"), "j")
+    # Every edge from the row that comes first.
+    edges = cut(both.select(F.least("ik", "jk").alias("a"), F.greatest("ik", "jk").alias("b")).distinct())
+    every, heads = edges, None
+    while True:
+        left = edges.count()
+        if left <= rest:
+            found = _walk(edges)
+            heads = found if heads is None else heads.unionByName(found)
+            break
+        behind = edges.select(F.col("b").alias("x")).distinct()
+        first = edges.select(F.col("a").alias("x")).distinct().join(behind, "x", "left_anti")
+        heads = cut(first if heads is None else heads.unionByName(first))
+        gone = edges.join(first, edges.a == first.x, "left_semi").select(F.col("b").alias("x")).unionByName(first).distinct()
+        gone = cut(gone)
+        rest_edges = edges.join(gone, edges.a == gone.x, "left_anti").join(gone, edges.b == gone.x, "left_anti")
+        # A row whose neighbours before it all follow has no edge left as a follower: it must not be lost as a leader.
+        alone = edges.select(F.col("a").alias("x")).union(edges.select(F.col("b").alias("x"))).distinct().join(gone, "x", "left_anti")
+        touched = rest_edges.select(F.col("a").alias("x")).union(rest_edges.select(F.col("b").alias("x"))).distinct()
+        heads = cut(heads.unionByName(alone.join(touched, "x", "left_anti")))
+        edges = cut(rest_edges)
+    heads = cut(heads.distinct())
+    follows = every.join(heads, every.a == heads.x, "left_semi").groupBy(F.col("b.id").alias("id")).agg(F.min("a").alias("l"))
+    follows = follows.join(heads.select(F.col("x.id").alias("id")), "id", "left_anti").select("id", F.col("l.id").alias("leader"))
+    out = vectors.select(F.col(id_col).cast("long").alias("id")).join(follows, "id", "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("leader", "id").alias("leader"), F.col("leader").isNull().alias("is_leader"))
+
+
+def _walk(edges: DataFrame) -> DataFrame:
+    """Leaders among the rows of a bounded edge set, in one pass in order."""
+    kind = edges.schema["a"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, id_col], kind="stable")
-        x = np.stack(pdf[vector].to_numpy()).astype(float)
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-        heads: list[int] = []
-        follows = np.empty(len(pdf), int)
-        for i in range(len(pdf)):
-            sims = x[heads] @ x[i] if heads else np.zeros(0)
-            hit = np.flatnonzero(sims >= threshold)
-            if len(hit):
-                follows[i] = heads[hit[0]]
-            else:
-                follows[i] = i
-                heads.append(i)
-        ids = pdf[id_col].to_numpy()
-        return pd.DataFrame({id_col: ids, "leader": ids[follows], "is_leader": follows == np.arange(len(pdf))})
-
-    return rows.groupBy("cluster").applyInPandas(run, f"{id_col} long, leader long, is_leader boolean")
-
-
-def average_linkage(vectors: DataFrame, threshold: float = 0.92, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+        before: dict = {}
+        for a, b in zip(pdf.a, pdf.b, strict=True):
+            a, b = (a["o"], a["id"]), (b["o"], b["id"])
+            before.setdefault(a, [])
+            before.setdefault(b, []).append(a)
+        heads: set = set()
+        for x in sorted(before):
+            if not any(a in heads for a in before[x]):
+                heads.add(x)
+        return pd.DataFrame({"x": [{"o": o, "id": i} for o, i in sorted(heads)]})
+
+    return edges.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, f"x {kind}")
+
+
+def average_linkage(vectors: DataFrame, threshold: float = 0.92, id_col: str = "vec_id", vector: str = "embedding", max_rounds: int = 200) -> DataFrame:
     """Agglomerative clusters cut where the mean similarity of two clusters falls below ``threshold``: ``id, cluster`` (smallest member).
 
-    Two clusters can only merge if some pair reaches the threshold, so each transitive cluster is exact by itself.
+    Clusters that are each other's nearest merge in the same round.  Average linkage never makes a merged cluster nearer to
+    a third one than the nearer of its parts was, so that gives the clusters of the one-by-one procedure, and an edge below
+    the threshold never comes back.  A cluster is its size and its sum of unit vectors; the mean similarity of two is the
+    dot product of the sums over the product of the sizes, so only edges of live pairs are kept, never a matrix.  Edges of
+    equal similarity rank by their smaller, then larger id.  Raises if ``max_rounds`` does not suffice.
     """
-    rows = _blocks_of(vectors.select(id_col, vector), threshold, id_col, vector)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col)
-        x = np.stack(pdf[vector].to_numpy()).astype(float)
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-        groups = [[i] for i in range(len(pdf))]
-        total = x @ x.T
-        np.fill_diagonal(total, -np.inf)
-        size = np.ones(len(pdf))
-        while len(groups) > 1:
-            mean = total / np.outer(size, size)
-            a, b = divmod(int(mean.argmax()), len(groups))
-            if mean[a, b] < threshold:
-                break
-            a, b = min(a, b), max(a, b)
-            groups[a] += groups[b]
-            size[a] += size[b]
-            total[a] += total[b]
-            total[:, a] = total[a]
-            total[a, a] = -np.inf
-            keep = np.arange(len(groups)) != b
-            total, size = total[keep][:, keep], size[keep]
-            del groups[b]
-        ids = pdf[id_col].to_numpy()
-        label = np.empty(len(pdf), np.int64)
-        for g in groups:
-            label[g] = ids[g].min()
-        return pd.DataFrame({id_col: ids, "cluster": label})
-
-    return rows.groupBy("cluster").applyInPandas(run, f"{id_col} long, cluster long")
+    unit = "transform(v, x -> x / sqrt(aggregate(v, 0D, (a, y) -> a + y * y)))"
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("c"), vx.as_double(F.col(vector)).alias("v"))
+    pairs = cut(nb.similarity_join(vectors, threshold, id_col, vector))
+    edges = cut(pairs.select(F.col("i").alias("a"), F.col("j").alias("b"), "sim"))
+    ends = edges.select(F.col("a").alias("c")).union(edges.select(F.col("b").alias("c"))).distinct()
+    clusters = cut(rows.join(ends, "c", "left_semi").select("c", F.lit(1).cast("long").alias("n"), F.expr(unit).alias("s")))
+    merges = None
+    for _ in range(max_rounds):
+        # Of all edges the best is the best of both its ends: every round merges something.
+        rank = F.struct(F.col("sim").alias("sim"), (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))
+        best = edges.select("a", F.col("a").alias("x"), "b", "sim").unionByName(edges.select("a", F.col("b").alias("x"), "b", "sim")).groupBy("x").agg(F.max(rank).alias("e"))
+        step = cut(best.groupBy((-F.col("e.a")).alias("a"), (-F.col("e.b")).alias("b")).agg(F.count("*").alias("k")).where("k = 2").select("a", "b"))
+        if step.isEmpty():
+            break
+        merges = step if merges is None else merges.unionByName(step)
+        into = step.select(F.col("b").alias("c"), F.col("a").alias("t"))
+        moved = clusters.join(into, "c", "left").select(F.coalesce("t", "c").alias("c"), "n", "s", F.col("c").alias("own"))
+        # Two rows at most meet in one.
+        two = moved.groupBy("c").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("own", "s"))).alias("p"))
+        clusters = cut(two.select("c", "n", F.when(F.size("p") == 1, F.col("p")[0]["s"]).otherwise(F.zip_with(F.col("p")[0]["s"], F.get("p", 1)["s"], lambda x, y: x + y)).alias("s")))
+        new = lambda c: F.coalesce(F.col(f"t{c}"), F.col(c))
+        named = edges.join(into.select(F.col("c").alias("a"), F.col("t").alias("ta")), "a", "left").join(into.select(F.col("c").alias("b"), F.col("t").alias("tb")), "b", "left")
+        named = named.select(F.least(new("a"), new("b")).alias("a"), F.greatest(new("a"), new("b")).alias("b")).where("a <> b").distinct()
+        side = lambda c: clusters.select(F.col("c").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}"))
+        sims = named.join(side("a"), "a").join(side("b"), "b").select("a", "b", (vx.dot(F.col("sa"), F.col("sb")) / (F.col("na") * F.col("nb"))).alias("sim"))
+        edges = cut(sims.where(F.col("sim") >= threshold))
+    else:
+        raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
+    out = vectors.select(F.col(id_col).cast("long").alias("id"))
+    if merges is None:
+        return out.select(F.col("id").alias(id_col), F.col("id").alias("cluster"))
+    comps = connected_components(merges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return out.join(comps, "id", "left").select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("cluster"))
 
 
 def merge_by_centroid(members: DataFrame, threshold: float = 0.90, cluster: str = "cluster", vector: str = "embedding") -> DataFrame:
@@ -111,7 +144,7 @@ def merge_by_centroid(members: DataFrame, threshold: float = 0.90, cluster: str
     Clusters without vectors stay by themselves.
     """
     means = vx.mean_vector(members.where(F.col(vector).isNotNull()), [cluster], vector)
-    pairs = vx.similarity_join(means.select(F.col(cluster).alias("vec_id"), F.col("mean").alias("embedding")), threshold)
+    pairs = nb.similarity_join(means.select(F.col(cluster).alias("vec_id"), F.col("mean").alias("embedding")), threshold)
     comps = connected_components(pairs.select(F.col("i").alias("src"), F.col("j").alias("dst")))
     every = members.select(F.col(cluster).cast("long").alias(cluster)).distinct()
     return every.join(comps.withColumnRenamed("id", cluster), cluster, "left").select(cluster, F.coalesce("component", cluster).alias("merged"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio_spark.functions import text as tx
-from folio_spark.functions import vector as vx
+from folio_spark.functions import neighbours as nb
 from folio_spark.operators.retrieval import dense, occurrence_relevance
 
 #: Relevance of a semantic hit, what a title match adds, and the score of a keyword match in title and body.
@@ -141,7 +141,7 @@ def payload_overlap(df: DataFrame, query: str, k: int, id_col: str, caption: str
 
 def visual_duplicates(df: DataFrame, threshold: float = 0.95, k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``a, b, sim``: unordered pairs of which one is among the other's ``k`` nearest, itself counted, at the threshold or above."""
-    near = vx.knn_join(df, k - 1, id_col, vector).where(F.col("sim") >= threshold)
+    near = nb.knn_join(df, k - 1, id_col, vector).where(F.col("sim") >= threshold)
     return near.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b"), "sim").groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 

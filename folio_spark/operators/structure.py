@@ -116,7 +116,7 @@ def merge_small(chunks: DataFrame, target: int, under: float = 0.3, id_col: str
 def clusters_within(pairs: DataFrame, members: DataFrame, id_col: str, topic: str, default: str = "general") -> DataFrame:
     """``id, topic, cluster_id``: components of similar ``pairs(i, j)`` whose ends share a topic; null topics are the default one.
 
-    Give ``pairs`` from a search blocked by topic where there is one; pairs across topics are dropped here.
+    Give ``pairs`` from a search by topic (``by`` of the similarity join); pairs across topics are dropped here.
     """
     named = members.select(F.col(id_col).alias("id"), F.coalesce(F.col(topic).cast("string"), F.lit(default)).alias("topic"))
     side = lambda c, t: named.select(F.col("id").alias(c), F.col("topic").alias(t))

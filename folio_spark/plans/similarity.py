@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio_spark.functions import vector as vx
+from folio_spark.functions import neighbours as nb
 from folio_spark.operators import dedup
 from folio_spark.registry import query, table
 
@@ -35,7 +35,7 @@ def exact_dup_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query("near_dup_pairs", f"WITH {PAIRS} SELECT i, j, round(sim, 6) AS sim FROM pairs")
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return vx.similarity_join(table(spark, d, "embeddings"), T).withColumn("sim", F.round("sim", 6))
+    return nb.similarity_join(table(spark, d, "embeddings"), T).withColumn("sim", F.round("sim", 6))
 
 
 @query("cluster_components", f"WITH RECURSIVE {COMPONENTS} SELECT vec_id, cluster FROM comp")
@@ -101,7 +101,7 @@ def cluster_purity(spark: SparkSession, d: str) -> DataFrame:
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(sim, 12) DESC, neighbour) AS rank FROM s) SELECT id, neighbour, round(sim, 6) AS sim, rank FROM r WHERE rank <= 5""",
 )
 def knn_join(spark: SparkSession, d: str) -> DataFrame:
-    return vx.knn_join(table(spark, d, "embeddings"), 5).select("id", "neighbour", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
+    return nb.knn_join(table(spark, d, "embeddings"), 5).select("id", "neighbour", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("best_duplicate", f"""WITH h AS (SELECT doc_id, n_chars, {HASH} AS h, length(text) AS len FROM documents),

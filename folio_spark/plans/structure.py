@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio_spark.functions import vector as vx
+from folio_spark.functions import neighbours as nb
 from folio_spark.operators import structure as st
 from folio_spark.registry import query, table
 from folio_spark.sources import sinks
@@ -91,7 +91,8 @@ def chunks_merge_small(spark: SparkSession, d: str) -> DataFrame:
 def clusters_within_topic(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     members = e.select("vec_id", F.when(F.col("label") % 3 != 0, F.concat(F.lit("t"), (F.col("label") % 3).cast("string"))).alias("topic"))
-    return st.clusters_within(vx.similarity_join(e, 0.45), members, "vec_id", "topic")
+    vectors = e.join(members.select("vec_id", F.coalesce("topic", F.lit("general")).alias("topic")), "vec_id")
+    return st.clusters_within(nb.similarity_join(vectors, 0.45, by="topic"), members, "vec_id", "topic")
 
 
 @query(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio_spark.functions import text as tx
+from folio_spark.functions import neighbours as nb
 from folio_spark.functions import vector as vx
 from folio_spark.functions.graph import connected_components
 from folio_spark.operators import assoc, catalog, chunking, classify, dedup, ranking, retrieval
@@ -81,8 +82,8 @@ def test_three_dedups_differ(spark):
 
 def test_blocked_joins_equal_one_block(spark):
     v = _chain(spark)
-    assert rows(vx.similarity_join(v, 0.8, block=1).drop("sim")) == rows(vx.similarity_join(v, 0.8).drop("sim")) == [(1, 2), (2, 3)]
-    assert rows(vx.knn_join(v, 1, block=1).select("id", "neighbour")) == rows(vx.knn_join(v, 1).select("id", "neighbour"))
+    assert rows(nb.similarity_report(v, 0.8, block=1).pairs.drop("sim")) == rows(nb.similarity_join(v, 0.8).drop("sim")) == [(1, 2), (2, 3)]
+    assert rows(nb.knn_report(v, 1, block=1).pairs.select("id", "neighbour")) == rows(nb.knn_join(v, 1).select("id", "neighbour"))
 
 
 def test_connected_components(spark):
