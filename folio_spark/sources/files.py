@@ -1,7 +1,6 @@
 """Document sources: binary files by suffix, text with encoding fallback, HTML, DOCX and EPUB, index files, logs, JSON.
 
 Parsers run inside executors over ``binaryFile`` rows, so any store Spark can list will do.
-PDF needs an optional library and is gated behind its import.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio_spark.sources import epub
+from folio_spark.sources import epub, pdf
 
 FORMATS = {"pdf": "pdf", "epub": "epub", "docx": "docx", "doc": "docx", "txt": "text", "text": "text", "md": "markdown", "html": "html", "htm": "html"}
 
@@ -102,15 +101,7 @@ def _epub(raw: bytes) -> str:
     return "\n\n".join((f"## {title}\n\n" if title else "") + text for _, _, title, text in parts)
 
 
-def _pdf(raw: bytes) -> str:
-    import fitz  # optional
-
-    doc = fitz.open(stream=raw, filetype="pdf")
-    pages = [(i, p.get_text().strip()) for i, p in enumerate(doc, 1)]
-    return "\n\n".join(f"[Page {i}]\n{t}" for i, t in pages if t)
-
-
-_PARSERS = {"docx": _docx, "epub": _epub, "pdf": _pdf}
+_PARSERS = {"docx": _docx, "epub": _epub, "pdf": pdf.plain}
 
 
 def parse_files(files: DataFrame) -> DataFrame:
@@ -118,9 +109,9 @@ def parse_files(files: DataFrame) -> DataFrame:
     plain = files.where(F.col("format").isin("text", "markdown", "html")).select("path", "format", decode_text(F.col("content")).alias("text"), F.lit(None).cast("string").alias("error"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for path, kind, raw in zip(pdf.path, pdf.format, pdf.content, strict=True):
+            for path, kind, raw in zip(batch.path, batch.format, batch.content, strict=True):
                 try:
                     out.append((path, kind, _PARSERS[kind](raw), None))
                 except Exception as e:  # noqa: BLE001
