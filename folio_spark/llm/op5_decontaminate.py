@@ -7,8 +7,9 @@ bits at most in one of them, so the items' blocks are entered with all such neig
 windows' looked up as they are.  Candidates are then verified by the exact weighted Jaccard
 similarity of their shingle sets, shingles weighing by their rarity among the items.
 
-Windows lie where they can matter: a window that shares no shingle with any item has similarity
-zero with all of them, so windows are set where a shared shingle aligns an item with the text.
+Windows lie where they can matter, in whatever order the shared shingles stand there: similarity
+``t`` takes ``t`` of an item's weight, so windows are set at every start whose window shares that
+much with an item, and nowhere else.
 An item shorter than a shingle is one shingle of its own length, and texts give shingles of those
 lengths, too.  The SimHash join decides between those windows and all items of the size.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio_spark.llm.base import cut, join_keys, table, unused
@@ -28,6 +30,8 @@ BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORDS, BITS, BLOCKS, PROBE = 2, 128, 13, 2
 #: Radius that the multi-index covers: with more than ``PROBE`` differences in every block there would be one more.
 RADIUS = BLOCKS * (PROBE + 1) - 1
+#: Words of an item up to which the lanes of its fingerprint cannot overflow.
+LANE = 65_535
 #: Item shingles up to which the item index is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
 
@@ -93,12 +97,18 @@ def block_keys(words: list[Column], probe: int = 0) -> Column:
     return F.flatten(F.array(*keys))
 
 
+def _held(rows: DataFrame) -> DataFrame:
+    """Adds ``held``: the weight of the shingles at ``p`` and the ``m - 1`` places behind it that the document shares with the item."""
+    # In units of m the frame has one length for all items; places are whole numbers, so 1 / m lies between the last in and the first out.
+    frame = "sum(weight) OVER (PARTITION BY c, item ORDER BY p / CAST(m AS DOUBLE) RANGE BETWEEN CURRENT ROW AND 0.9999999D FOLLOWING)"
+    return rows.withColumn("held", F.expr(frame))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``id, item_id, similarity, n_windows, first_word, n_words``: a row per document and item it leaks.
 
     ``similarity`` is the best among the document's windows of the item's size, ``n_windows`` how
-    many of those that a shared shingle aligns with an item reach the threshold, ``first_word`` the
-    first of them.  Words are runs of ASCII letters, digits and other scripts, case-folded over
+    many of them reach the threshold, ``first_word`` the start of the first.  Words are runs of ASCII letters, digits and other scripts, case-folded over
     A-Z.  A document shorter than an item is one window; an item of fewer words than a shingle
     leaks where its words stand side by side.  Null or word-free texts and items match nothing.
     Repeated rows of an id, and all rows of a null id, count as one document each with the windows
@@ -112,7 +122,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity:
     # Items of equal words are one; their ids come back at the end.
     named = cut(named.select("item_id", F.xxhash64("w").alias("item"), F.size("w").alias("n"), shingles_of(F.col("w"), shingle).alias("s")))
     bench = cut(named.groupBy("item", "n").agg(F.first("s").alias("s"), F.count("*").alias("same")))
-    places = bench.select("n", F.posexplode("s").alias("q", "h")).distinct()
     total, small = bench.agg(F.coalesce(F.sum("same"), F.lit(0)), F.coalesce(F.sum(F.size("s")), F.lit(0))).first()
     short = sorted(r.n for r in bench.where(F.col("n") < shingle).select("n").distinct().collect())  # shingle - 1 values at most
     hint = F.broadcast if small <= BROADCAST_ROWS else (lambda d: d)
@@ -120,6 +129,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity:
     weights = bench.select("same", F.explode(F.array_distinct("s")).alias("h")).groupBy("h").agg(F.log1p(top / F.sum("same")).alias("weight"))
     rarest = F.log1p(top.cast("double"))
     weights = cut(weights)
+    of_item = bench.select("item", "n", F.explode(F.array_distinct("s")).alias("h")).join(hint(weights), "h")
+    mass = of_item.groupBy("item").agg((F.sum("weight") * (similarity - 1e-9)).alias("need"))
+    places = cut(of_item.join(hint(mass), "item").withColumn("m", F.col("n") - F.least("n", F.lit(shingle)) + 1))
 
     split = src.select("c", words_of(F.col("t")).alias("w"))
     shingled = split.select("c", "w", F.size("w").alias("len"), shingles_of(F.col("w"), shingle).alias("s"))
@@ -131,9 +143,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity:
         rows = shingled.select("c", "len", F.explode_outer(F.array_distinct(F.concat(placed, *[F.coalesce(f, empty) for f in fewer]))).alias("g")).select("c", "len", "g.p", "g.h")
     else:
         rows = shingled.select("c", "len", F.posexplode_outer("s").alias("p", "h"))
-    hits = rows.join(hint(places), "h")
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("len") - F.col("n")))
-    spots = cut(hits.select("c", "n", start.alias("start")).distinct().groupBy("c").agg(F.collect_list(F.struct("start", "n")).alias("spots")))
+    # A window of similarity t shares t of the item's weight at least: starts are kept where their window holds so much.
+    hits = rows.join(hint(places), "h").select("c", "len", "p", "item", "m", "n", "need", "weight")
+    hits = _held(hits.withColumn("before", F.lag("p").over(W.partitionBy("c", "item").orderBy("p"))))
+    most = F.max("held").over(W.partitionBy("c", "item"))
+    hits = cut(hits.withColumn("most", most).where("most >= need").drop("most"))
+    # Every start of a window whose first shared shingle lies at p.
+    earliest = F.greatest(F.lit(0), F.coalesce(F.col("before") + 1, F.lit(0)), F.col("p") - F.col("m") + 1)
+    starts = hits.where("held >= need AND (before IS NULL OR before < p)").withColumn("p", F.explode(F.sequence(earliest, F.col("p")))).withColumn("weight", F.lit(0.0)).withColumn("place", F.lit(True))
+    columns = ["c", "len", "p", "item", "m", "n", "need", "weight", "place"]
+    tried = _held(starts.select(*columns).unionByName(hits.withColumn("place", F.lit(False)).select(*columns))).where("place AND held >= need")
+    start = F.greatest(F.lit(0), F.least(F.col("p"), F.col("len") - F.col("n")))
+    spots = cut(tried.select("c", "n", start.alias("start")).distinct().groupBy("c").agg(F.collect_list(F.struct("start", "n")).alias("spots")))
 
     holders = cut(join_keys(src, spots.select("c"), "c", "left_semi"))
     texts = holders.groupBy("c").agg(F.first("t").alias("t")).join(spots, "c").select("c", "spots", words_of(F.col("t")).alias("w"))
@@ -157,6 +178,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity:
     y = of_items.select(F.col("n").alias("n2"), "item", F.col("f0").alias("e0"), F.col("f1").alias("e1"), F.col("mass").alias("mi"), F.explode(block_keys(fp, PROBE)).alias("k2"))
     apart = F.bit_count(F.col("f0").bitwiseXOR(F.col("e0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("e1")))
     near = x.join(y, (F.col("n") == F.col("n2")) & (F.col("k") == F.col("k2"))).where(apart <= RADIUS).select("n", "content", "item", "mw", "mi").distinct()
+    # The lanes of a fingerprint hold 65,535 shingles: longer contents meet the items of their size as they are.
+    long_item = of_items.where(F.col("n") > LANE).select(F.col("n").alias("n2"), "item", F.col("mass").alias("mi"))
+    whole = of_windows.where(F.col("n") > LANE).select("n", "content", F.col("mass").alias("mw")).join(long_item, F.col("n") == F.col("n2")).select("n", "content", "item", "mw", "mi")
+    near = near.where(F.col("n") <= LANE).unionByName(whole)
     # Exact weighted similarity of the candidates, over whole shingle sets.
     item_sets = bench.select("item", "n", F.array_distinct("s").alias("si"))
     common = near.join(contents, ["n", "content"]).join(item_sets, ["item", "n"])

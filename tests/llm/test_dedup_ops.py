@@ -300,6 +300,32 @@ def test_leaks_by_brute_force(spark):
     assert got == pytest.approx(want, abs=1e-8) and len(want) > 80
 
 
+def test_leaks_in_another_order(spark):
+    """Halves swapped, sentences reversed, words between, two copies side by side: the best window lies where no single shingle aligns it."""
+    rng = np.random.RandomState(22)
+    items = [(i, " ".join(prose(rng, int(n), 4000))) for i, n in enumerate([60, 60, 40, 25, 31, 12, 8, 80])]
+    rows = []
+    for d in range(96):
+        w = items[d % len(items)][1].split()
+        k = int(rng.randint(1, len(w)))
+        kind = d % 4
+        if kind == 0:
+            w = w[k:] + w[:k]
+        elif kind == 1:
+            w = w[: len(w) // 2 + k % 3] + prose(rng, k % 4, 4000) + w[len(w) // 2 + k % 3 :]
+        elif kind == 2:
+            third = max(1, len(w) // 3)
+            w = w[2 * third :] + w[third : 2 * third] + w[:third]
+        else:
+            w = w[k:] + w + w[:k]
+        rows.append((d, " ".join(prose(rng, int(rng.randint(0, 50)), 4000) + w + prose(rng, int(rng.randint(0, 50)), 4000))))
+    rows.append((900, " ".join(prose(rng, 40, 4000) + items[0][1].split()[30:] + items[0][1].split()[:30] + prose(rng, 40, 4000))))
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in op5_decontaminate.find_leaks(df, bench).collect()}
+    want = brute_leaks(rows, items)
+    assert got == pytest.approx(want, abs=1e-8) and (900, 0) in want and len(want) > 40
+
+
 def test_leaks_of_null_ids_and_clashing_columns(spark):
     rng = np.random.RandomState(22)
     item = " ".join(prose(rng, 30, 4000))
