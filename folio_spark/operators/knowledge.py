@@ -38,9 +38,11 @@ def mentions(triples: DataFrame) -> DataFrame:
 def assign_sections(clusters: DataFrame, outline: DataFrame, text: str = "text", key: str = "cluster_id") -> DataFrame:
     """The section of most keywords for each cluster: a topic hint wins, none found goes to the first section.
 
-    ``outline(ord, section, keywords array)`` is small; ties go to the earlier section.
+    ``outline(ord, section, keywords array)`` is small; ties go to the earlier section; an empty outline has none to give.
     """
     rows = outline.orderBy("ord").collect()  # an outline has tens of entries
+    if not rows:
+        return clusters.select(key, F.lit(None).cast("string").alias("section"))
     best = F.lit(0)
     scores = [tx.presence(F.lower(F.col(text)), list(r.keywords or [])) for r in rows]
     for s in scores:

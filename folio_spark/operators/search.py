@@ -68,14 +68,16 @@ def merge_terms(matches: DataFrame, key: str = "page", order: str = "ord") -> Da
     )
 
 
-def expand_by_dictionary(queries: DataFrame, dictionary: DataFrame, most: int = 5, longest: int = 4, query: str = "query") -> DataFrame:
+def expand_by_dictionary(queries: DataFrame, dictionary: DataFrame, most: int = 5, longest: int | None = None, query: str = "query") -> DataFrame:
     """``query, position, expanded``: the query, then up to ``most`` variants from ``dictionary(stage, ord, term, variant)``.
 
     A term matches as whole words, case ignored, wherever it stands; each variant replaces all its
     places.  Variants come by stage, order and variant; equal ones and the query itself count once.
-    Queries give runs of up to ``longest`` words, which meet the terms by an equi-join: no query is
-    tried against the whole dictionary.
+    Queries give runs of up to ``longest`` words (the longest term's, if not given), which meet the
+    terms by an equi-join: no query is tried against the whole dictionary.
     """
+    if longest is None:
+        longest = dictionary.select(F.max(F.size(F.split(F.trim("term"), " +")))).first()[0] or 1
     clean = F.array_join(F.filter(F.split(F.lower(query), " "), lambda w: w != ""), " ")
     words = F.split("_q", " ")
     runs = F.flatten(F.array(*[F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), _run(words, n))).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)]))

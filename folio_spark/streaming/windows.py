@@ -6,6 +6,7 @@ stream to its end and returns what it wrote, which tests and batch jobs use.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,12 +93,14 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return src.select(*[F.col(f.name).cast("timestamp") if f.dataType.typeName() == "timestamp_ntz" else F.col(f.name) for f in schema.fields])
 
 
-def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
+def drain(stream: DataFrame, mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
     """Run a bounded stream to its end; its result as a table in the shared checkpoint folder, where its state lies, too.
 
-    ``complete`` and ``update`` results are the last batch's, ``append`` ones those of all batches;
-    nothing passes the driver.  A batch written twice takes its own place.
+    ``complete`` results are the last batch's, ``append`` ones those of all batches; of ``update`` results the last row of
+    each of ``keys`` counts, whichever batch it came in.  Nothing passes the driver.  A batch written twice takes its own place.
     """
+    if mode == "update" and not keys:
+        raise ValueError("update results need the keys that tell which row is replaced")
     spark = stream.sparkSession
     root = f"{shared_folder(spark)}/drained-{uuid.uuid4().hex}"
     written: list[int] = []
@@ -113,5 +116,10 @@ def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
         q.stop()
     if not written:
         return spark.createDataFrame([], stream.schema)
-    kept = sorted(set(written)) if mode == "append" else [max(written)]
-    return spark.read.schema(stream.schema).parquet(*[f"{root}/batch={n}" for n in kept])
+    kept = [max(written)] if mode == "complete" else sorted(set(written))
+    read = lambda n: spark.read.schema(stream.schema).parquet(f"{root}/batch={n}")
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(*[f"{root}/batch={n}" for n in kept])
+    rows = functools.reduce(DataFrame.unionByName, [read(n).withColumn("_batch", F.lit(n)) for n in kept])
+    last = F.max_by(F.struct(*stream.columns), "_batch").alias("_row")
+    return rows.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(last).select("_row.*")
