@@ -76,7 +76,8 @@ def query_intent(queries: DataFrame, strong: dict[str, list[str]], endings: dict
 def evidence(text: Column, levels: list[tuple[str, list[str]]]) -> Column:
     """``array<struct<level, rank, confidence, distinct, total>>`` of the levels found.
 
-    Confidence is ``min(1, .3 * distinct + .1 * total)`` over the matches of a level's patterns.
+    Confidence is ``min(1, .3 * distinct + .1 * total)`` over the matches of a level's patterns, summed in
+    whole tenths: sums of fractions would tell equal confidences apart in their last digit.
     """
     low = F.lower(text)
     found = []
@@ -84,7 +85,7 @@ def evidence(text: Column, levels: list[tuple[str, list[str]]]) -> Column:
         hits = F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(p), 0) for p in patterns]))
         d, n = F.size(F.array_distinct(hits)), F.size(hits)
         found.append(
-            F.struct(F.lit(name).alias("level"), F.lit(rank).alias("rank"), F.least(F.lit(1.0), 0.3 * d + 0.1 * n).alias("confidence"), d.alias("distinct"), n.alias("total"))
+            F.struct(F.lit(name).alias("level"), F.lit(rank).alias("rank"), (F.least(F.lit(10), 3 * d + n) / 10.0).alias("confidence"), d.alias("distinct"), n.alias("total"))
         )
     return F.filter(F.array(*found), lambda x: x["total"] > 0)
 

@@ -230,3 +230,10 @@ def test_evict_rollup_upsert(spark):
 def test_phrase_match_escapes(spark):
     assert one(spark, ranking.phrase_match(F.col("t"), "a.b c"), t="xa.b .. c") is True
     assert one(spark, ranking.phrase_match(F.col("t"), "a.b c"), t="aXb c") is False
+
+
+def test_equal_evidence_goes_to_the_stronger_level(spark):
+    # .3 * 2 + .1 * 3 and .3 * 1 + .1 * 6 are both nine tenths, but not as sums of doubles.
+    levels = [("strong", ["alpha", "beta"]), ("medium", ["gamma"])]
+    t = "alpha beta beta " + "gamma " * 6
+    assert one(spark, classify.best_evidence(classify.evidence(F.col("t"), levels)), t=t) == "strong"
