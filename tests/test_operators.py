@@ -237,3 +237,19 @@ def test_equal_evidence_goes_to_the_stronger_level(spark):
     levels = [("strong", ["alpha", "beta"]), ("medium", ["gamma"])]
     t = "alpha beta beta " + "gamma " * 6
     assert one(spark, classify.best_evidence(classify.evidence(F.col("t"), levels)), t=t) == "strong"
+
+
+def test_evidence_summary_counts_equal_confidences_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    from folio_spark.plans import texts
+    from folio_spark.registry import ORACLES
+
+    # Strong by two matches in three places, medium by one in six: nine tenths each.
+    rows = [(1, "ing of " * 6 + "tionth tionth thered"), (2, "and the and the"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {r.evidence_level: r.n_docs for r in texts.evidence_summary(spark, str(tmp_path)).collect()}
+    assert got == {r[0]: r[2] for r in con.execute(ORACLES["evidence_summary"]).fetchall()}
+    assert got == {"strong": 1, "medium": 1, "weak": 0, "none": 0}
