@@ -5,8 +5,8 @@ common shingles last, two sets of similarity t or more share a shingle within th
 Documents of equal sets form a class; classes of equal size and prefix form a group; groups
 meet through the prefix shingles.  In each posting list all groups are first verified against
 the list's smallest one, which connects large groups of copies with as many pairs as members.
-Only what then still lies in different components is paired within its list, filtered by size
-and position, expanded to members and verified: links inside a component change nothing.
+Only what then still lies in different components is paired within its list, members of one
+group too, filtered by size and position and verified: links inside a component change nothing.
 """
 
 from __future__ import annotations
@@ -206,13 +206,15 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     groups = classes.groupBy("n", "p").agg(F.min("rep").alias("gid"), F.count("*").alias("members"))
     members = cut(classes.join(groups.where("members > 1"), ["n", "p"]).select("gid", "rep"))
 
-    heads = profiles.select("id", "n", "w", "prefix").join(groups.select(F.col("gid").alias("id")), "id", "left_semi")
-    postings = heads.select(F.col("id").alias("gid"), "n", "w", F.posexplode("prefix").alias("pos", "token"))
+    # A row a group, whatever copies its head has: lists count groups.
+    heads = profiles.select("id", "n", "p", "w", "prefix").join(groups.select(F.col("gid").alias("id"), "n", "p", "members"), ["id", "n", "p"]).dropDuplicates(["id", "n", "p"])
+    postings = heads.select(F.col("id").alias("gid"), "n", "w", "members", F.posexplode("prefix").alias("pos", "token"))
     list_of = Window.partitionBy("token")
     # A list's head is the group with most common shingles: of copies of one text the least altered.
+    # A list of one group stays if that has members: they may be linked with each other and not with its head.
     multi = cut(
-        postings.select("token", "gid", (F.col("n") * (1 << 31) + F.col("pos")).alias("np"), "w")
-        .withColumn("length", F.count("*").over(list_of))
+        postings.select("token", "gid", (F.col("n") * (1 << 31) + F.col("pos")).alias("np"), "w", "members")
+        .withColumn("length", F.sum("members").over(list_of))
         .withColumn("head", F.max(F.struct("w", (-F.col("gid")).alias("no"), "np")).over(list_of))
         .where("length > 1")
         .select("token", "gid", "np", (-F.col("head.no")).alias("hgid"), F.col("head.np").alias("hnp"))
@@ -234,13 +236,17 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     free_shuffles(docs.sparkSession)
     comps = cut(connected_components(links))
 
-    # What is left: entries of one list in different components.
-    entries = multi.select("token", "gid", "np").join(members, "gid", "left").select("token", F.coalesce("rep", "gid").alias("rep"), "np")
-    entries = entries.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("token", "rep", "np", F.coalesce("component", "rep").alias("comp"))
-    # Shingles whose lists have the same members say the same: they become one list that counts so many shingles.
-    members_of = F.xxhash64(F.bit_xor(F.xxhash64("rep")), F.bit_xor(F.xxhash64("rep", F.lit(1))), F.count("*"))
-    mixed = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), members_of.alias("list")).where("lo <> hi").select("token", "list")
-    entries = entries.join(mixed, "token").groupBy("list", "rep").agg(F.count("*").alias("times"), F.min(place_of("np")).alias("pos"), F.max(size_of("np")).alias("n"), F.max("comp").alias("comp"))
+    # What is left: entries of one list in different components.  First the components of each group.
+    comp_of = comps.select(F.col("id").alias("rep"), "component")
+    within = members.join(comp_of, "rep", "left").groupBy("gid").agg(F.min(F.coalesce("component", "rep")).alias("lo"), F.max(F.coalesce("component", "rep")).alias("hi"))
+    alone = comps.select(F.col("id").alias("gid"), F.col("component").alias("lo"), F.col("component").alias("hi")).join(members.select("gid").distinct(), "gid", "left_anti")
+    entries = multi.join(cut(within.union(alone)), "gid", "left").select("token", "gid", "np", F.coalesce("lo", "gid").alias("lo"), F.coalesce("hi", "gid").alias("hi"))
+    # Shingles whose lists have the same groups say the same: they become one list that counts so many shingles.
+    groups_of = F.xxhash64(F.bit_xor(F.xxhash64("gid")), F.bit_xor(F.xxhash64("gid", F.lit(1))), F.count("*"))
+    mixed = entries.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), groups_of.alias("list")).where("lo <> hi").select("token", "list")
+    entries = entries.join(mixed, "token").groupBy("list", "gid").agg(F.count("*").alias("times"), F.min(place_of("np")).alias("pos"), F.max(size_of("np")).alias("n"))
+    entries = entries.join(members, "gid", "left").select("list", F.coalesce("rep", "gid").alias("rep"), "times", "pos", "n")
+    entries = entries.join(comp_of, "rep", "left").select("list", "rep", "times", "pos", "n", F.coalesce("component", "rep").alias("comp"))
     # Sets of different components share shingles in such lists only.  A pair needs so many of them that its first
     # common list must have enough shingles of both sets in it and behind it: only such rows are joined.
     onward = Window.partitionBy("rep").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)

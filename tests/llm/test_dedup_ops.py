@@ -137,6 +137,25 @@ def test_jaccard_components(spark, n, percent, share):
     assert got == brute_jaccard(rows, n, percent)
 
 
+#: The two smallest of the 13 shingles of FAR and NEAR are the same, the others are not.
+FAR = "w727729 w928742 w694138 w825472 w544406 w404199 w624285 w497085 w155643 w746490 w648974 w981352 w929310 w906376 w391336 w426928"
+NEAR = "w143267 w470719 w524667 w68128 w810606 w452443 w727729 w928742 w694138 w825472 w544406 w87137 w683462 w239268 w957330"
+
+
+def test_members_of_a_group_link_without_its_head(spark):
+    # Equal sizes and prefixes make one group; its head links with neither of the two that link.
+    rows = [(1, FAR), (2, f"{NEAR} w215835"), (3, f"{NEAR} w998044")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op6_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_jaccard(rows, 4, 85) == {1: (13, 1), 2: (13, 2), 3: (13, 2)}
+
+
+@pytest.mark.parametrize("copies", [2, 3])
+def test_copies_of_a_row_lose_no_link(spark, copies):
+    rows = [(1, FAR), (2, f"{NEAR} w215835")] + copies * [(3, f"{NEAR} w215835 w998044")]
+    got = sorted((r.doc_id, r.component_id) for r in op6_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (2, 2)] + copies * [(3, 2)]
+
+
 def test_jaccard_edges(spark, docs):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in op6_jaccard.jaccard_components(docs).collect())
     assert got == [(1, 5, 1), (2, 5, 1), (2, 5, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 1, 6), (7, 1, 6), (8, 1, 8)]
