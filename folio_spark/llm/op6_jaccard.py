@@ -118,7 +118,10 @@ def _profiles(docs: DataFrame, n: int, percent: int, common: tuple[np.ndarray, n
 
 
 def _of_wanted(docs: DataFrame, n: int, wanted: DataFrame, column: str, kind: str, value) -> DataFrame:
-    """``id, column`` of the ``wanted`` ids and of few others that the filter lets pass; joins on the ids are exact."""
+    """``id, column`` of the ``wanted`` ids, a row each, and of few others that the filter lets pass; joins on the ids are exact.
+
+    Rows of one id are copies: were they all kept, a pair would be joined once for every two of them.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +132,7 @@ def _of_wanted(docs: DataFrame, n: int, wanted: DataFrame, column: str, kind: st
                 part = part.filter(pa.array(may_hold(sent.value, np.asarray(part.column(0)).astype(np.int64))))
                 yield pa.RecordBatch.from_arrays([part.column(0), _list_array([value(s) for s in shingle_sets(part.column(1), n)])], ["id", column])
 
-    return docs.mapInArrow(lean(run), f"id {docs.schema['id'].dataType.simpleString()}, {column} {kind}")
+    return docs.mapInArrow(lean(run), f"id {docs.schema['id'].dataType.simpleString()}, {column} {kind}").dropDuplicates(["id"])
 
 
 def parity_bits(s: np.ndarray) -> np.ndarray:

@@ -156,6 +156,12 @@ def test_copies_of_a_row_lose_no_link(spark, copies):
     assert got == [(1, 1), (2, 2)] + copies * [(3, 2)]
 
 
+def test_sets_are_joined_once_whatever_copies(spark):
+    rows = 20 * [(1, "a b c d e f g h")] + 20 * [(2, "a b c d e f g h i")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    assert op6_jaccard._of_wanted(df, 4, df.select("id").distinct(), "set", "array<long>", lambda s: s).count() == 2
+
+
 def test_jaccard_edges(spark, docs):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in op6_jaccard.jaccard_components(docs).collect())
     assert got == [(1, 5, 1), (2, 5, 1), (2, 5, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 1, 6), (7, 1, 6), (8, 1, 8)]
