@@ -128,6 +128,14 @@ def test_average_linkage(spark, t):
     assert len(set(got.values())) < len(got)
 
 
+@pytest.mark.parametrize("rest", [0, 60])
+def test_average_linkage_in_rounds_and_in_one_task(spark, rest):
+    x = np.concatenate([bunches(8, 70, 8, 5, 0.3), bunches(8, 70, 8, 5, 0.3)[:6]])  # more than 60 edges, and equal vectors
+    assert len(brute_pairs(x, 0.95)) > 60
+    got = {r["vec_id"]: r["cluster"] for r in dedup.average_linkage(frame(spark, x), 0.95, rest=rest).collect()}
+    assert got == brute_linkage(x, 0.95)
+
+
 def spread(seed, n, dim=24):
     return unit(np.random.RandomState(seed).standard_normal((n, dim)))
 
