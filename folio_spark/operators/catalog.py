@@ -47,11 +47,17 @@ def evict_oldest(df: DataFrame, order: list[str], share: float = 0.2) -> DataFra
 
 
 def range_join_first(points: DataFrame, spans: DataFrame, at: str, start: str, stop: str, order: list[str], bucket: int, key: str) -> DataFrame:
-    """Each point with the first span that holds it (``start <= at < stop``), by buckets of the axis instead of a theta join."""
-    p = points.withColumn("_b", F.floor(F.col(at) / bucket))
-    s = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor((F.col(stop) - 1) / bucket))))
+    """Each point with the first span that holds it (``start <= at < stop``), by buckets of the axis instead of a theta join.
+
+    ``order`` names columns of the spans.  Of spans with the same ends only the first can be one's first, and points of one
+    place have the same, so what meets is bounded by the places there are.
+    """
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    p = points.select(at).distinct().withColumn("_b", F.floor(F.col(at) / bucket))
+    s = spans.withColumn("_rn", rank(start, stop)).where("_rn = 1").drop("_rn").withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor((F.col(stop) - 1) / bucket))))
     hit = p.join(s, "_b").where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(stop)))
-    return hit.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rn = 1").drop("_rn", "_b")
+    hit = points.join(hit.withColumn("_rn", rank(at)).where("_rn = 1").drop("_rn", "_b"), at)
+    return hit.withColumn("_rn", rank(key)).where("_rn = 1").drop("_rn")
 
 
 def hierarchy_rollup(df: DataFrame, levels: list[str], **measures: Column) -> DataFrame:

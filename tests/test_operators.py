@@ -253,3 +253,31 @@ def test_evidence_summary_counts_equal_confidences_as_its_sql(spark, tmp_path):
     got = {r.evidence_level: r.n_docs for r in texts.evidence_summary(spark, str(tmp_path)).collect()}
     assert got == {r[0]: r[2] for r in con.execute(ORACLES["evidence_summary"]).fetchall()}
     assert got == {"strong": 1, "medium": 1, "weak": 0, "none": 0}
+
+
+def test_equal_spans_meet_a_point_once(spark):
+    # 300 points of one place in 300 spans of the same ends: joined row by row they would make 90,000 rows.
+    p = spark.range(300).select(F.col("id").alias("k"), F.lit(5).cast("long").alias("at"))
+    s = spark.range(300).select(F.col("id").alias("name"), F.lit(0).cast("long").alias("start"), F.lit(10).cast("long").alias("stop"))
+    got = catalog.range_join_first(p, s, "at", "start", "stop", ["start", "name"], 8, "k").cache()
+    assert [(r.k, r.name) for r in got.orderBy("k").collect()] == [(k, 0) for k in range(300)]
+    assert most_join_rows(got) <= 300
+
+
+def most_join_rows(cached):
+    """Rows of the largest join in the executed plan of a cached frame."""
+    import re
+
+    found, todo = [], [cached._jdf.queryExecution().withCachedData().cacheBuilder().cachedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if re.search("Join", name):
+            found.append(node.metrics().apply("numOutputRows").value())
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return max(found)
