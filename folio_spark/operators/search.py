@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio_spark.functions.graph import cut
 from folio_spark.functions import text as tx
 from folio_spark.functions import neighbours as nb
 from folio_spark.operators.retrieval import dense, occurrence_relevance
@@ -157,12 +158,36 @@ def nearby_text(images: DataFrame, texts: DataFrame, page: str, image_id: str, t
     """``image, text, score``: the ``n`` nearest texts of an image on its page.
 
     Both sides hold the page and centres ``x, y``.  The score falls from 1 to 0 with the distance
-    over ``reach``.  An equi-join on the page; pages hold few blocks.
+    over ``reach``.  An equi-join on the page, of places instead of rows: whatever stands at one place has one score, so
+    a place gives its first ``n`` texts, and images of one place share their nearest.
     """
+    first = F.row_number().over(Window.partitionBy(page, "x", "y").orderBy(text_id))
+    b = texts.select(page, text_id, "x", "y").withColumn("_rn", first).where(F.col("_rn") <= n)
+    b = b.groupBy(page, "x", "y").agg(F.array_sort(F.collect_list(text_id)).alias("_texts"))
     a = images.select(page, image_id, F.col("x").alias("_x"), F.col("y").alias("_y"))
-    b = texts.select(page, text_id, "x", "y")
+    left, place, done = a.select(page, "_x", "_y").distinct(), Window.partitionBy(page, "_x", "_y"), None
     score = F.greatest(F.lit(0.0), 1 - F.sqrt((F.col("_x") - F.col("x")) ** 2 + (F.col("_y") - F.col("y")) ** 2) / reach)
-    rows = a.join(b, page).select(image_id, text_id, F.round(score, 9).alias("score")).where(F.col("score") >= least)
+    # On crowded pages the n best lie in the cells around a place: it has them when the last scores more than anything
+    # beyond those cells can.  Other places go on to larger cells, and at last to the whole page.
+    for cell in (reach / 16, reach / 8, reach / 4, None):
+        if cell is None:
+            near = left.join(b, page)
+        else:
+            at = lambda c: F.floor(F.col(c) / cell)
+            around = lambda c: F.explode(F.sequence(at(c) - 1, at(c) + 1))
+            near = left.withColumn("_cx", around("_x")).withColumn("_cy", around("_y")).join(b.withColumn("_cx", at("x")).withColumn("_cy", at("y")), [page, "_cx", "_cy"])
+        near = near.select(page, "_x", "_y", "_texts", F.round(score, 9).alias("score")).where(F.col("score") >= least)
+        # Of a place beyond the n best by score and first text no text is among the n best.
+        near = near.withColumn("_rn", F.row_number().over(place.orderBy(F.desc("score"), F.col("_texts")[0]))).where(F.col("_rn") <= n)
+        if cell is not None:
+            near = cut(near)
+            sure = near.where((F.col("_rn") == n) & (F.col("score") > round(1 - cell / reach, 9))).select(page, "_x", "_y")
+            near, left = near.join(sure, [page, "_x", "_y"], "left_semi"), cut(left.join(sure, [page, "_x", "_y"], "left_anti"))
+        done = near if done is None else done.unionByName(near)
+    near = done
+    near = near.select(page, "_x", "_y", "score", F.explode("_texts").alias(text_id))
+    near = near.withColumn("_rn", F.row_number().over(place.orderBy(F.desc("score"), text_id))).where(F.col("_rn") <= n)
+    rows = a.join(near, [page, "_x", "_y"]).select(image_id, text_id, "score")
     rank = F.row_number().over(Window.partitionBy(image_id).orderBy(F.desc("score"), text_id))
     return rows.withColumn("_rn", rank).where(F.col("_rn") <= n).drop("_rn")
 

@@ -281,3 +281,23 @@ def most_join_rows(cached):
         kids = node.children()
         todo += [kids.apply(i) for i in range(kids.size())]
     return max(found)
+
+
+def test_nearby_text_meets_places_not_rows(spark):
+    import numpy as np
+
+    from folio_spark.operators import search
+
+    rng = np.random.RandomState(3)
+    spots = lambda n, at: [(int(i % 2), i, *(at or (int(rng.randint(600)), int(rng.randint(800))))) for i in range(n)]
+    images = spark.createDataFrame(spots(40, None), "page long, image long, x long, y long")
+    texts = spark.createDataFrame(spots(300, None), "page long, block long, x long, y long")
+    want = set()
+    for p, i, x, y in images.collect():
+        near = [(round(max(0.0, 1 - math.hypot(x - tx_, y - ty) / 500), 9), b) for q, b, tx_, ty in texts.collect() if p == q]
+        want |= {(i, b) for s, b in sorted((n for n in near if n[0] >= 0.3), key=lambda n: (-n[0], n[1]))[:5]}
+    assert {(r.image, r.block) for r in search.nearby_text(images, texts, "page", "image", "block").collect()} == want
+    # 200 images and 200 texts of two places.
+    one_place = [spark.createDataFrame(spots(200, (5, 5)), f"page long, {k} long, x long, y long") for k in ("image", "block")]
+    got = search.nearby_text(*one_place, "page", "image", "block").cache()
+    assert got.count() == 1000 and most_join_rows(got) <= 1000
