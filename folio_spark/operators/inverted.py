@@ -26,6 +26,8 @@ from folio_spark.functions.graph import cut, shared_folder
 #: Documents of a block, and folders that terms are hashed to.
 BLOCK = 512
 BUCKETS = 32
+#: Bytes of the stored table that one file of the postings stands for.
+FILE_BYTES = 8 << 20
 
 
 def query_terms(query: str) -> Counter:
@@ -77,6 +79,11 @@ def exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
+def files_for(size: int) -> int:
+    """Files of a bucket for a table of ``size`` bytes: what one task writes does not grow with the table."""
+    return max(1, -(-size // (BUCKETS * FILE_BYTES)))
+
+
 def index_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> str:
     """The index of a table of files in the shared folder; built where there is none for these files as they are now.
 
@@ -84,10 +91,10 @@ def index_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     spark = docs.sparkSession
     files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    mark = files.agg(F.count("*"), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()
+    mark = files.agg(F.count("*"), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)")), F.sum("file_size")).first()
     path = f"{shared_folder(spark)}/keyword-index-{mark[0]}-{str(mark[1]).replace('-', 'm')}-{id_col}-{text_col}"
     if not exists(spark, path):
-        append(docs, path, id_col, text_col)
+        append(docs, path, id_col, text_col, files=files_for(mark[2] or 0))
     return path
 
 

@@ -97,3 +97,7 @@ def test_same_as_the_scan(spark, tmp_path):
     inverted.append(docs, f"{tmp_path}/i")
     want = sorted((round(r["score"], 9), r["doc_id"]) for r in rt.bm25(docs, "beta delta", 9).collect())
     assert sorted(hits(inverted.search(spark, f"{tmp_path}/i", "beta delta", 9))) == want
+
+
+def test_files_of_a_bucket_grow_with_the_table():
+    assert [inverted.files_for(n) for n in (0, 1 << 20, 1 << 28, (1 << 28) + 1, 6 << 30)] == [1, 1, 1, 2, 24]
