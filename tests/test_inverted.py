@@ -101,3 +101,18 @@ def test_same_as_the_scan(spark, tmp_path):
 
 def test_files_of_a_bucket_grow_with_the_table():
     assert [inverted.files_for(n) for n in (0, 1 << 20, 1 << 28, (1 << 28) + 1, 6 << 30)] == [1, 1, 1, 2, 24]
+
+
+def test_blocks_are_built_in_their_task_over_any_batches(spark, tmp_path):
+    texts = corpus(60)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        inverted.append(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), f"{tmp_path}/i", block=8)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    stored = spark.read.parquet(f"{tmp_path}/i/postings")
+    # Ids and lengths stand once a block, not once a posting.
+    ids = [i for r in stored.where("term IS NULL").collect() for i in r.ids]
+    assert len(ids) == len(set(ids)) and stored.where("term IS NOT NULL AND ids IS NOT NULL").count() == 0
+    assert stored.where("term IS NOT NULL").groupBy("term", "block").count().where("count > 1").count() == 0
+    assert hits(inverted.search(spark, f"{tmp_path}/i", "alpha delta the", 12)) == brute(texts, "alpha delta the", 12)
