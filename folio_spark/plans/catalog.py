@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folio_spark.functions.deal import dealt, parts_for
 from folio_spark.operators import assoc
 from folio_spark.operators import catalog as ct
 from folio_spark.registry import query, table
@@ -85,7 +86,9 @@ def evict_oldest(spark: SparkSession, d: str) -> DataFrame:
     r AS (SELECT *, sum(new) OVER (PARTITION BY l_partkey ORDER BY step, place ROWS UNBOUNDED PRECEDING) AS run FROM b)
     SELECT l_partkey, run::BIGINT AS run, count(*) AS length, min(step) AS first_step, max(step) AS last_step FROM r GROUP BY 1, 2""")
 def consecutive_groups(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "lineitem").select("l_partkey", F.col("l_suppkey").alias("step"), F.col("l_linenumber").alias("place")).distinct()
+    s = table(spark, d, "lineitem").select("l_partkey", F.col("l_suppkey").alias("step"), F.col("l_linenumber").alias("place"))
+    parts = parts_for(s)
+    s = dealt(dealt(s, "l_partkey", "step", "place", parts=parts).distinct(), "l_partkey", parts=parts)
     runs = assoc.consecutive_groups(s, "l_partkey", ["step", "place"], "step", "place")
     return runs.groupBy("l_partkey", "run").agg(F.count("*").alias("length"), F.min("step").alias("first_step"), F.max("step").alias("last_step"))
 

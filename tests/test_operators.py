@@ -315,3 +315,30 @@ def test_evidence_summary_gives_an_id_one_level_as_its_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
     got = sorted(tuple(r) for r in texts.evidence_summary(spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(ORACLES["evidence_summary"]).fetchall())
+
+
+def tasks_rows(df):
+    """Rows of each partition of a frame."""
+    return [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_rows_of_a_key_are_dealt_by_row_count(spark):
+    from folio_spark.functions import deal
+
+    df = spark.range(20_000).select((F.col("id") % 2000).alias("k"), "id")
+    got = deal.dealt(df, "k", parts=deal.parts_for(df, 500))
+    assert got.rdd.getNumPartitions() == 40 and max(tasks_rows(got)) < 1000
+    assert got.groupBy("k").agg(F.count_distinct(F.spark_partition_id()).alias("n")).where("n > 1").count() == 0
+
+
+@pytest.mark.parametrize("query, column", [("consecutive_groups", "l_partkey")])
+def test_tasks_of_long_tables_hold_few_rows(spark, tmp_path, monkeypatch, query, column):
+    from folio_spark.functions import deal
+    from folio_spark.registry import QUERIES
+
+    monkeypatch.setattr(deal.parts_for, "__defaults__", (100,))
+    rows = spark.range(8000).select(
+        (F.col("id") % 1000).alias("l_partkey"), (F.col("id") % 900).alias("l_suppkey"), F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(20.0).alias("l_quantity")
+    )
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert max(tasks_rows(QUERIES[query](spark, str(tmp_path)).select(column))) < 1000
