@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio_spark.functions import graph
+from folio_spark.functions.deal import dealt
 
 #: Header lines by pattern (numbered; capitals; title case), and the font rules.
 NUMBERED, CAPITALS, TITLE_CASE = r"^[0-9]+\.?[0-9]*\.?[0-9]*[ \t]+[A-Z][^.!?\n]{3,80}$", r"^[A-Z][A-Z \t]{4,60}$", r"^([A-Z][a-z]+ ?){2,8}$"
@@ -102,7 +103,7 @@ def merge_small(chunks: DataFrame, target: int, under: float = 0.3, id_col: str
     order = order or ["chunk_no", "part"]
     words = F.size(F.filter(F.split(text, r"[ \t\n\r\x0b\x0c]+"), lambda w: w != ""))
     by_doc = Window.partitionBy(id_col).orderBy(*order)
-    rows = chunks.withColumn("_i", F.row_number().over(by_doc)).withColumn("_small", (words < under * target).cast("int"))
+    rows = dealt(chunks, id_col).withColumn("_i", F.row_number().over(by_doc)).withColumn("_small", (words < under * target).cast("int"))
     # Small chunks of a run share the number of larger ones before them; their place in the run tells the pair.
     rows = rows.withColumn("_run", F.sum(1 - F.col("_small")).over(by_doc))
     place = F.row_number().over(Window.partitionBy(id_col, "_run", "_small").orderBy("_i"))
