@@ -134,21 +134,28 @@ def figure_sequences(steps: DataFrame, least: int = 2) -> DataFrame:
 
 def captions_for_images(images: DataFrame, captions: DataFrame) -> DataFrame:
     """Greedy assignment on a page: images in order take the nearest caption that is still free: ``page, image_id, caption_id, distance``."""
-    pairs = images.alias("i").join(captions.alias("c"), "page").select(
-        "page", "image_id", F.col("i.y").alias("iy"), "caption_id", F.sqrt(F.pow(F.col("i.x") - F.col("c.x"), 2) + F.pow(F.col("i.y") - F.col("c.y"), 2)).alias("distance")
-    )
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for image, g in pdf.sort_values(["iy", "image_id"], kind="stable").groupby("image_id", sort=False):
-            for r in g.sort_values(["distance", "caption_id"], kind="stable").itertuples():
-                if r.caption_id not in used:
-                    used.add(r.caption_id)
-                    out.append((r.page, image, r.caption_id, r.distance))
-                    break
-        return pd.DataFrame(out, columns=["page", "image_id", "caption_id", "distance"])
-
-    return pairs.groupBy("page").applyInPandas(run, "page long, image_id string, caption_id string, distance double")
+    spot = F.struct("x", "y")
+    c = captions.groupBy("page").agg(F.collect_list(F.struct("caption_id", "x", "y")).alias("free"))
+    own = images.where("image_id IS NOT NULL").groupBy("page", "image_id").agg(F.min("y").alias("y"), F.collect_list(spot).alias("at"))
+    # Missing places come last.
+    i = own.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(F.col("y").isNull().alias("none"), "y", "image_id", "at"))).alias("images"))
+    rows = i.join(c, "page")
+    taken = "struct<image_id:string,caption_id:string,distance:double>"
+    zero = F.struct(F.expr(f"CAST(array() AS array<{taken}>)").alias("done"), F.col("free").alias("free"))
+
+    def near(caption: Column, at: Column) -> Column:
+        far = F.transform(at, lambda p: F.sqrt(F.pow(p["x"] - caption["x"], F.lit(2)) + F.pow(p["y"] - caption["y"], F.lit(2))))
+        distance = F.array_min(far)
+        return F.struct(distance.isNull().alias("none"), distance.alias("distance"), caption["caption_id"].alias("caption_id"))
+
+    def step(acc: Column, image: Column) -> Column:
+        best = F.array_min(F.transform(acc["free"], lambda c: near(c, image["at"])))
+        pair = F.struct(image["image_id"].alias("image_id"), best["caption_id"].alias("caption_id"), best["distance"].alias("distance")).cast(taken)
+        left = F.filter(acc["free"], lambda c: ~c["caption_id"].eqNullSafe(best["caption_id"]))
+        return F.when(F.size(acc["free"]) == 0, acc).otherwise(F.struct(F.concat(acc["done"], F.array(pair)).alias("done"), left.alias("free")))
+
+    found = rows.select("page", F.explode(F.aggregate("images", zero, step)["done"]).alias("p"))
+    return found.select(F.col("page").cast("long").alias("page"), "p.*")
 
 
 def association_score(keyword: Column, proximity: Column, context: Column, same_page: Column, figure_ref: Column) -> Column:

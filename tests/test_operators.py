@@ -343,3 +343,29 @@ def test_tasks_of_long_tables_hold_few_rows(spark, tmp_path, monkeypatch, query,
     )
     rows.write.parquet(f"{tmp_path}/lineitem.parquet")
     assert max(tasks_rows(QUERIES[query](spark, str(tmp_path)).select(column))) < 1000
+
+
+def test_captions_are_dealt_in_order_without_pairs(spark):
+    import numpy as np
+
+    rng = np.random.RandomState(8)
+    spot = lambda: (int(rng.randint(6)), int(rng.randint(6)) if rng.rand() > 0.1 else None)
+    draw = lambda n, letter: [(int(rng.randint(9)), f"{letter}{rng.randint(n)}", *spot()) for _ in range(n)]
+    images, captions = draw(120, "i"), draw(60, "c")
+    want = set()
+    for page in range(9):
+        own, used = {}, set()
+        for p, i, x, y in images:
+            if p == page:
+                own.setdefault(i, []).append((x, y))
+        last = lambda v: (v is None, v or 0)
+        for i, at in sorted(own.items(), key=lambda kv: (*min(last(y) for _, y in kv[1]), kv[0])):
+            far = lambda x, y: min((last(None if b is None or y is None else math.hypot(a - x, b - y)) for a, b in at))  # noqa: B023, E731
+            free = sorted((*far(x, y), c) for p, c, x, y in captions if p == page and c not in used)
+            if free:
+                used.add(free[0][2])
+                want.add((page, i, free[0][2], None if free[0][0] else round(free[0][1], 9)))
+    frames = [spark.createDataFrame(r, f"page long, {k} string, x long, y long") for r, k in ((images, "image_id"), (captions, "caption_id"))]
+    got = assoc.captions_for_images(*frames)
+    assert {(r.page, r.image_id, r.caption_id, None if r.distance is None else round(r.distance, 9)) for r in got.collect()} == want
+    assert "Pandas" not in got._jdf.queryExecution().executedPlan().toString()
