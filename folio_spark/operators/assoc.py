@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,18 +47,44 @@ def verification_scores(checked: DataFrame, key: str = "item_id") -> DataFrame:
 def details_preserved(claims: DataFrame, merged: DataFrame, key: str = "item_id", head: int = 50, more_than: int = 20) -> DataFrame:
     """How many of each claim's sentences stand in some merged text, by their first characters.
 
-    The sentences are few (those of the claims) and are looked for in one pass over the texts.
+    The sentences are few (those of the claims); one pass over the texts looks for all of them at once.
     """
     s = claims.select(key, F.explode(tx.sentences(F.col("text"))).alias("s")).where(F.length(F.trim("s")) > more_than)
     heads = s.select(key, F.substring("s", 1, head).alias("head")).distinct()
-    probes = [r[0] for r in heads.select("head").distinct().orderBy("head").collect()]
-    found: set[str] = set()
-    for i in range(0, len(probes), 200):
-        part = probes[i : i + 200]
-        row = merged.agg(*[F.coalesce(F.bool_or(F.contains("text", F.lit(p))), F.lit(False)).alias(f"p{k}") for k, p in enumerate(part)]).first()
-        found |= {p for k, p in enumerate(part) if row[k]}
-    kept = F.col("head").isin(sorted(found)) if found else F.lit(False)
-    return heads.groupBy(key).agg(F.count("*").alias("n_details"), F.count_if(kept).alias("n_kept"))
+    probes = sorted(r[0] for r in heads.select("head").distinct().collect())
+    found = merged.select("text").mapInArrow(lambda batches: _contained(batches, probes), "head string").distinct()
+    marked = heads.join(F.broadcast(found.withColumn("kept", F.lit(True))), "head", "left")
+    return marked.groupBy(key).agg(F.count("*").alias("n_details"), F.count_if("kept").alias("n_kept"))
+
+
+def _contained(batches: Iterator[pa.RecordBatch], probes: list[str]) -> Iterator[pa.RecordBatch]:
+    """Those ``probes`` that stand in some text, each once: places where eight bytes begin one are compared in full."""
+    left: dict[bytes, list[bytes]] = {}
+    for p in (p.encode() for p in probes):
+        left.setdefault(p[:8], []).append(p)
+    short = [p for b in left for p in left[b] if len(b) < 8]
+    starts = np.sort(np.array([int.from_bytes(b, "little") for b in left if len(b) == 8], "uint64"))
+    # A table by the first two bytes leaves few places to look up.
+    table = np.zeros(1 << 16, bool)
+    table[(starts & np.uint64(0xFFFF)).astype("int64")] = True
+    found: set[bytes] = set()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            if text is None:
+                continue
+            raw = text.encode()
+            found.update(p for p in short if p in raw)
+            if len(raw) < 8 or not len(starts):
+                continue
+            view = np.frombuffer(raw, "uint8")
+            at = np.flatnonzero(table[view[:-7].astype("int64") | (view[1:-6].astype("int64") << 8)])
+            if not len(at):
+                continue
+            windows = np.lib.stride_tricks.sliding_window_view(view, 8)[at].copy().view("<u8").ravel()
+            at = at[starts[np.minimum(np.searchsorted(starts, windows), len(starts) - 1)] == windows]
+            for i in at.tolist():
+                found.update(p for p in left[raw[i : i + 8]] if p not in found and raw.startswith(p, i))
+    yield pa.RecordBatch.from_pydict({"head": pa.array([p.decode() for p in sorted(found)], pa.string())})
 
 
 def first_context(df: DataFrame, term: str, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

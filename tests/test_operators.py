@@ -345,6 +345,23 @@ def test_tasks_of_long_tables_hold_few_rows(spark, tmp_path, monkeypatch, query,
     assert max(tasks_rows(QUERIES[query](spark, str(tmp_path)).select(column))) < 1000
 
 
+def test_details_are_found_in_one_pass(spark):
+    heads = [f"{'é' * (i % 3)}sentence number {i} of the claim stands here" for i in range(450)]
+    claims = spark.createDataFrame([(i % 7, h) for i, h in enumerate(heads)], "item_id long, text string")
+    texts = [None, "", "short", " ".join(heads[:300:2]), "x" + heads[301] + "y", heads[303][:-1], heads[305][:20]]
+    merged = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    kept = {h for h in heads if any(t and h[:50] in t for t in texts)}
+    tracker, before = spark.sparkContext.statusTracker(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    frame = assoc.details_preserved(claims, merged)
+    jobs = len(tracker.getJobIdsForGroup(None)) - before
+    got = {r.item_id: (r.n_details, r.n_kept) for r in frame.collect()}
+    assert got == {k: (sum(i % 7 == k for i in range(450)), sum(i % 7 == k and h in kept for i, h in enumerate(heads))) for k in range(7)}
+    # Only the sentences come to the driver; no pass over the texts for every 200 of them.
+    assert jobs <= 4
+    brief = assoc.details_preserved(spark.createDataFrame([(1, "ab cd")], "item_id long, text string"), spark.createDataFrame([("xab cdx",)], "text string"), more_than=1)
+    assert [tuple(r) for r in brief.collect()] == [(1, 1, 1)]
+
+
 def test_captions_are_dealt_in_order_without_pairs(spark):
     import numpy as np
 
