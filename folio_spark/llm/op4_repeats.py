@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio_spark.llm.base import cut, free_shuffles, id_filter, lean, may_hold, table, unused
+from folio_spark.llm.base import cut, free_shuffles, id_filter, map_texts, may_hold, table, unused
 from folio_spark.llm.bytesops import _ODD, Words, chunks, mix
 
 MIN_WORDS = 50
@@ -189,13 +189,13 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = F
     document; an empty table gives no rows; other columns are ignored.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
-    seeds = src.mapInArrow(lean(_anchor_rows(min_words)), "seed long")
+    seeds = map_texts(src, _anchor_rows(min_words), "seed long")
     repeated = cut(seeds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select(F.col("seed").alias("id")))
     bits = 1 << 16
     while bits < SEED_BITS and bits < 16 * repeated.count():
         bits <<= 1
     packed = docs.sparkSession.sparkContext.broadcast(id_filter(repeated, bits))
-    suffixes = src.mapInArrow(lean(_context_rows(min_words, packed)), "id long, pos int, seed long, before binary, after binary, fewest int, most int")
+    suffixes = map_texts(src, _context_rows(min_words, packed), "id long, pos int, seed long, before binary, after binary, fewest int, most int")
     # Suffixes of equal words all around are one class: its first stands for it, the others are copies of the first.
     # Classes are aggregated before they are shuffled, so a passage in a third of all documents costs a row a task.
     k = min_words // 2
@@ -215,7 +215,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = F
     # Classes of one seed meet in the passages they share; the earliest place of each passage marks the others.
     several = classes.groupBy("seed").agg(F.count("*").alias("n"), F.min("f.id").alias("a"), F.max("f.id").alias("b")).where(F.col("n") > 1 if within else F.col("a") < F.col("b"))
     heads = classes.join(several.select("seed"), "seed", "left_semi").select("words", f_id.alias("id"), F.col("f.pos").alias("pos"), "seed", "before", "after", "fewest", "most")
-    passages = heads.mapInArrow(lean(_passage_rows(min_words)), "passage long, words long, id long, pos int, n int")
+    passages = map_texts(heads, _passage_rows(min_words), "passage long, words long, id long, pos int, n int")
     firsts = passages.groupBy("passage").agg(first, F.max(F.struct("id", "pos")).alias("l")).where("l > f" if within else "l.id > f.id").select("passage", "f")
     met = passages.join(firsts, "passage").where(F.struct("id", "pos") > F.col("f") if within else F.col("id") > f_id)
     # Passages of a suffix that one place marks lie side by side: all between the first and the last are found there, too.
@@ -229,7 +229,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = F
     # Overlapping marks of a document become one span; the source is that of its longest mark.
     merged = marks.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "source_id", "source_start"))).alias("m"))
     merged = merged.select("id", *[F.col(f"m.{c}").alias(c) for c in ("start", "stop", "source_id", "source_start")])
-    spans = merged.mapInArrow(lean(_merge_marks), "id long, s struct<start:long,stop:long,source_id:long,source_start:long>")
+    spans = map_texts(merged, _merge_marks, "id long, s struct<start:long,stop:long,source_id:long,source_start:long>")
     return spans.select(
         F.col("id").alias(id_col),
         F.col("s.start").alias("start_word"),
@@ -288,7 +288,7 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                         cols = [x.filter(stay) for x in cols]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return joined.mapInArrow(lean(run), docs.schema)
+    return map_texts(joined, run, docs.schema)
 
 
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio_spark.llm.base import connected_components, cut, free_shuffles, id_filter, lean, may_hold, table
+from folio_spark.llm.base import connected_components, cut, free_shuffles, id_filter, map_texts, may_hold, table
 from folio_spark.llm.bytesops import Words, chunks, gram_hashes, mix
 
 #: A shingle in more than this share of the documents counts as common in the order.
@@ -54,7 +54,11 @@ def common_shingles(texts: DataFrame, n: int, share: float) -> tuple[np.ndarray,
 
         def flush():
             nonlocal held, size, docs
-            h, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            h = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            held = []  # one copy of the block is sorted in place
+            h.sort()
+            first = np.flatnonzero(np.append(h[:1] == h[:1], h[1:] != h[:-1]))
+            h, c = h[first], np.diff(np.append(first, len(h)))
             big = c > max(4, share * docs)
             out = pa.RecordBatch.from_arrays(
                 [pa.array(np.append(h[big].view(np.int64), 0)), pa.array(np.append(c[big], 0)), pa.array(np.append(np.zeros(big.sum(), np.int64), docs))], ["h", "c", "docs"]
@@ -71,7 +75,7 @@ def common_shingles(texts: DataFrame, n: int, share: float) -> tuple[np.ndarray,
                     yield flush()
         yield flush()
 
-    found = cut(texts.mapInArrow(lean(run), "h long, c long, docs long"))
+    found = cut(map_texts(texts, run, "h long, c long, docs long"))
     total = found.agg(F.sum("docs")).first()[0] or 0
     sums = found.groupBy("h").agg(F.sum("c").alias("c"))
     rows = sums.where((F.col("c") > 4) & (F.col("c") > share * total)).toArrow()
@@ -114,7 +118,7 @@ def _profiles(docs: DataFrame, n: int, percent: int, common: tuple[np.ndarray, n
                 cols = np.array(rows, np.int64).reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(cols[:, j]) for j in range(5)), _list_array(prefixes)], ["id", "n", "s1", "s2", "p", "w", "prefix"])
 
-    return docs.mapInArrow(lean(run), f"id {docs.schema['id'].dataType.simpleString()}, n long, s1 long, s2 long, p long, w long, prefix array<long>")
+    return map_texts(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, n long, s1 long, s2 long, p long, w long, prefix array<long>")
 
 
 def _of_wanted(docs: DataFrame, n: int, wanted: DataFrame, column: str, kind: str, value) -> DataFrame:
@@ -132,7 +136,7 @@ def _of_wanted(docs: DataFrame, n: int, wanted: DataFrame, column: str, kind: st
                 part = part.filter(pa.array(may_hold(sent.value, np.asarray(part.column(0)).astype(np.int64))))
                 yield pa.RecordBatch.from_arrays([part.column(0), _list_array([value(s) for s in shingle_sets(part.column(1), n)])], ["id", column])
 
-    return docs.mapInArrow(lean(run), f"id {docs.schema['id'].dataType.simpleString()}, {column} {kind}").dropDuplicates(["id"])
+    return map_texts(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, {column} {kind}").dropDuplicates(["id"])
 
 
 def parity_bits(s: np.ndarray) -> np.ndarray:

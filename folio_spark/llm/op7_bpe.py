@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio_spark.llm.base import lean, table
+from folio_spark.llm.base import map_texts, table
 
 #: Pre-tokens remembered by a worker; beyond it the memory starts anew, so a worker stays bounded.
 CACHE_ENTRIES = 150_000
@@ -173,7 +173,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return src.mapInArrow(lean(run), f"id {src.schema['id'].dataType.simpleString()}, ids binary").withColumnRenamed("id", id_col)
+    return map_texts(src, run, f"id {src.schema['id'].dataType.simpleString()}, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -186,7 +186,7 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "decoded"])
 
     src = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return src.mapInArrow(lean(run), f"id {src.schema['id'].dataType.simpleString()}, decoded binary").withColumnRenamed("id", id_col)
+    return map_texts(src, run, f"id {src.schema['id'].dataType.simpleString()}, decoded binary").withColumnRenamed("id", id_col)
 
 
 def roundtrip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -210,7 +210,7 @@ def roundtrip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "d
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(lean(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids).withColumnRenamed("id", id_col)
+    return map_texts(src, run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids).withColumnRenamed("id", id_col)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

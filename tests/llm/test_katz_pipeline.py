@@ -196,3 +196,38 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_hold_texts_in_small_batches(spark, tmp_path, monkeypatch):
+    """A worker and the executor beside it hold whole batches: their bytes are bounded, however long the texts are."""
+    import corpus_pipeline as cp
+    from folio_spark.llm import base, op3_toxicity, op4_repeats, op6_jaccard, op7_bpe
+
+    seen = str(tmp_path / "seen")
+    lean = base.lean
+
+    def spy(run):
+        def counted(batches):
+            for batch in batches:
+                with open(seen, "a") as f:
+                    f.write(f"{batch.nbytes}\n")
+                yield batch
+
+        return lean(lambda batches: run(counted(batches)))
+
+    for module in (base, op3_toxicity, op4_repeats, op6_jaccard, op7_bpe):
+        monkeypatch.setattr(module, "lean", spy, raising=False)
+    d = str(tmp_path)
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(1500)), lambda i: F.concat(F.lit("w"), F.col("id") * 1500 + i)))
+    docs = spark.range(1, 1001, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("x").alias("source")).withColumn("n_chars", F.length("text").cast("int"))
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, 0, 1), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    whole = sum(len(r.text) for r in docs.select("text").collect())
+    assert whole > 10_000_000
+    for name, stage in cp.STAGES:
+        if name != "decontamination":  # runs no Python
+            out = stage(spark, spark.read.parquet(f"{d}/documents.parquet").coalesce(1), d)
+            assert 0 < out.count() <= 1000, name
+            sizes = [int(x) for x in open(seen).read().split()]
+            assert 2_000_000 < max(sizes) < 5_000_000, (name, max(sizes))
+            open(seen, "w").close()
