@@ -169,3 +169,21 @@ def test_products_in_single_precision_decide_nothing():
         got = {(i, j) for a, b, _ in nb.reaching(x, y, t) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
         clear = np.abs(exact - t) > 1e-12
         assert {p for p in got if clear[p]} == {p for p in zip(*map(np.ndarray.tolist, np.nonzero((exact >= t) & clear)), strict=True)}
+
+
+def test_nearest_rows_over_many_tiles(monkeypatch):
+    monkeypatch.setattr(nb, "TILE_ROWS", 16)
+    monkeypatch.setattr(nb, "TILE", 32)
+    monkeypatch.setattr(nb, "PAIRS_AT_ONCE", 50)
+    x = np.concatenate([spread(13, 150), np.repeat(spread(14, 2), 30, axis=0)])
+    s = np.round(x @ x.T, 12)
+    np.fill_diagonal(s, -np.inf)
+    ids = np.arange(len(x)) * 3
+    got = [(i, j) for a, b, _ in nb.nearest(x, ids, x, ids, 4) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert got == [(3 * i, 3 * j) for i in range(len(x)) for j in sorted(range(len(x)), key=lambda j: (-s[i, j], j))[:4]]
+
+
+def test_blocks_are_not_joined_into_few_tasks(spark):
+    """The bytes of blocks are few, but their pairs are much work."""
+    pairs = nb.similarity_report(frame(spark, spread(10, 900)), 0.5, block=128, per_pivot=10).pairs
+    assert pairs.rdd.getNumPartitions() >= 36
