@@ -202,3 +202,14 @@ def test_forest_links_what_pairs_link(spark, t):
         return label.tolist()
 
     assert groups(edges) == groups(pairs)
+
+
+def test_leaders_are_met_in_batches(spark, monkeypatch):
+    x = np.concatenate([spread(17, 300, 6), np.zeros((2, 6)), spread(17, 300, 6)[:9]])
+    seen = []
+    by_first = dedup._by_first
+    monkeypatch.setattr(dedup, "_by_first", lambda *a: seen.append(by_first(*a)) or seen[-1])
+    got = dedup.leader(frame(spark, x, [(900, None, "null")]), 0.6, batch=40).collect()
+    assert sum(held is not None for held, _ in seen) >= 2
+    got = {r["vec_id"]: r["leader"] for r in got}
+    assert got.pop(900) == 900 and got == brute_leader(x, 0.6, np.zeros(len(x)))
